@@ -348,27 +348,31 @@ def agency_rate(features: DataFrame) -> DataFrame:
     return per_vendor.groupBy("agency").agg(F.avg("rate").alias("agency_rate"))
 
 
-def peer_features(features: DataFrame) -> DataFrame:
-    """F20 and F21 against the agency's peers; without an agency both fall back to neutral values."""
-    joined = features.join(lookup(agency_amount_mean(features)), "agency", "left").join(
-        lookup(agency_rate(features)), "agency", "left")
-    amount = _money(F.col("cents"))
-    return joined.select(
+def amount_vs_agency(df: DataFrame) -> DataFrame:
+    """F20; needs no history, only the agency means."""
+    return df.join(lookup(agency_amount_mean(df)), "agency", "left").select(
+        *df.columns,
+        F.coalesce(_money(F.col("cents")) / (F.col("agency_mean") + 1.0), F.lit(1.0)).alias("amount_vs_category_avg"))
+
+
+def frequency_vs_agency(features: DataFrame) -> DataFrame:
+    """F21 from the 30-day counts; rows without an agency are compared to a rate of one."""
+    return features.join(lookup(agency_rate(features)), "agency", "left").select(
         *features.columns,
-        F.coalesce(amount / (F.col("agency_mean") + 1.0), F.lit(1.0)).alias("amount_vs_category_avg"),
         (F.col("invoice_count_30d") / (F.coalesce(F.col("agency_rate"), F.lit(1.0)) + 0.1))
-        .alias("invoice_freq_vs_category"),
-    )
+        .alias("invoice_freq_vs_category"))
 
 
 def feature_matrix(df: DataFrame, hot_rows: int = HOT_ROWS, n_slices: int | None = None) -> DataFrame:
     """All 22 features in their fixed order, next to the key columns."""
-    feats = temporal_features(df, hot_rows, n_slices)
     if "agency" in df.columns:
-        feats = peer_features(feats)
+        feats = frequency_vs_agency(temporal_features(df, hot_rows, n_slices))
+        feats = feats.join(lookup(agency_amount_mean(df)), "agency", "left").withColumn(
+            "amount_vs_category_avg",
+            F.coalesce(_money(F.col("cents")) / (F.col("agency_mean") + 1.0), F.lit(1.0)))
     else:
-        feats = feats.withColumn("amount_vs_category_avg", F.lit(1.0)).withColumn(
-            "invoice_freq_vs_category", F.lit(1.0))
+        feats = temporal_features(df, hot_rows, n_slices).withColumns(
+            {"amount_vs_category_avg": F.lit(1.0), "invoice_freq_vs_category": F.lit(1.0)})
     return feats.select(*df.columns, "vendor_avg_amount",
                         *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in FEATURES])
 

@@ -94,6 +94,8 @@ BURST_MATRIX = "WITH " + BURST_SQL + "," + MATRIX_SQL.format(src="burst")
 
 KEYS = ["vendor_id", "tx_id", "ts", "cents", "agency"]
 DIGITS = 6
+# whole seconds over 86,400 can fall exactly between two numbers of six digits, but not of eight
+DIGITS_OF = {c: 8 if c == "days_since_last_invoice" else DIGITS for c in feat.FEATURES}
 
 
 def spend_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,26 +106,27 @@ def burst_rows(spark: SparkSession, sf: str) -> DataFrame:
     return burst(spark, sf).select(*KEYS)
 
 
-def rounded(df: DataFrame, cols: list[str], digits: int = DIGITS) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+def rounded(df: DataFrame, cols: list[str], digits: int | None = None) -> DataFrame:
+    n = lambda c: digits or DIGITS_OF.get(c, DIGITS)
+    return df.select(*[F.round(c, n(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def _register_feature(name: str) -> None:
     """One query per feature: the same builder, and Catalyst drops the frames that are not asked for."""
     peer = name in ("amount_vs_category_avg", "invoice_freq_vs_category")
     source = "matrix" if peer else "temporal"
-    text = (SPEND_MATRIX if peer else BURST_TEMPORAL) + f"\nSELECT tx_id, vendor_id, round({name}, {DIGITS}) AS {name} FROM {source}"
+    text = (SPEND_MATRIX if peer else BURST_TEMPORAL) + f"\nSELECT tx_id, vendor_id, round({name}, {DIGITS_OF[name]}) AS {name} FROM {source}"
 
     @query(name, text)
     def _(spark: SparkSession, sf: str) -> DataFrame:
         if name == "amount_vs_category_avg":
-            df = feat.peer_features(feat.temporal_features(spend_rows(spark, sf)))
+            df = feat.amount_vs_agency(spend_rows(spark, sf))
         elif peer:
-            df = feat.feature_matrix(spend_rows(spark, sf))
+            df = feat.frequency_vs_agency(feat.temporal_features(spend_rows(spark, sf)))
         else:
             # the agency is not needed here, so no dimension is joined
             df = feat.temporal_features(burst_rows(spark, sf))
-        return df.select("tx_id", "vendor_id", F.round(name, DIGITS).alias(name))
+        return df.select("tx_id", "vendor_id", F.round(name, DIGITS_OF[name]).alias(name))
 
 
 for _name in feat.FEATURES:
@@ -131,14 +134,14 @@ for _name in feat.FEATURES:
 
 
 @query("feature_matrix", SPEND_MATRIX + "\nSELECT tx_id, vendor_id, "
-       + ", ".join(f"round({c}, {DIGITS}) AS {c}" for c in feat.FEATURES) + " FROM matrix")
+       + ", ".join(f"round({c}, {DIGITS_OF[c]}) AS {c}" for c in feat.FEATURES) + " FROM matrix")
 def _(spark, sf):
     return rounded(feat.feature_matrix(spend_rows(spark, sf)).select("tx_id", "vendor_id", *feat.FEATURES),
                    feat.FEATURES)
 
 
 @query("feature_matrix_bursts", BURST_MATRIX + "\nSELECT tx_id, vendor_id, "
-       + ", ".join(f"round({c}, {DIGITS}) AS {c}" for c in feat.FEATURES) + " FROM matrix")
+       + ", ".join(f"round({c}, {DIGITS_OF[c]}) AS {c}" for c in feat.FEATURES) + " FROM matrix")
 def _(spark, sf):
     return rounded(feat.feature_matrix(burst_rows(spark, sf)).select("tx_id", "vendor_id", *feat.FEATURES),
                    feat.FEATURES)

@@ -50,8 +50,8 @@ def compare(got: pd.DataFrame, want: pd.DataFrame) -> str:
         return f"rows {len(got)} != {len(want)}"
     a, b = canon(got), canon(want)
     if a != b:
-        bad = [(x, y) for x, y in zip(a, b) if x != y]
-        return f"{len(bad)} rows differ, first: {bad[0]}"
+        only_a, only_b = sorted(set(a) - set(b), key=str), sorted(set(b) - set(a), key=str)
+        return f"{len(only_a)} rows differ, got {only_a[:2]} want {only_b[:2]}"
     return "ok"
 
 
