@@ -59,9 +59,10 @@ def uuid5_dns(name: Column) -> Column:
     """Version-5 UUID in the DNS namespace, from the built-in SHA-1."""
     digest = F.sha1(F.concat(F.unhex(F.lit(DNS_NAMESPACE)), F.encode(name, "UTF-8")))
     variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4),
-                       F.concat(F.lit("5"), F.substring(digest, 14, 3)),
-                       F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
+    dash = F.lit("-")
+    return F.concat(F.substring(digest, 1, 8), dash, F.substring(digest, 9, 4), dash, F.lit("5"),
+                    F.substring(digest, 14, 3), dash, variant, F.substring(digest, 18, 3), dash,
+                    F.substring(digest, 21, 12))
 
 
 def canonical_vendor_id(clean_name: Column) -> Column:
