@@ -108,7 +108,7 @@ def burst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CASES_SQL = SPEND_SQL + """,
 cases AS (
-  SELECT 'case-' || tx_id AS case_id, tx_id, vendor_id, cents, agency, category, description, ml_score,
+  SELECT 'case-' || tx_id AS case_id, tx_id, l_linenumber AS ln, l_orderkey, vendor_id, cents, agency, category, description, ml_score,
          CASE o_orderstatus WHEN 'O' THEN 'OPEN' WHEN 'P' THEN 'IN_REVIEW' ELSE 'CLOSED' END AS status,
          CASE WHEN ml_score >= 0.80 THEN 'HIGH' WHEN ml_score >= 0.60 THEN 'MEDIUM' ELSE 'LOW' END
            AS risk_level,
@@ -125,7 +125,8 @@ def cases(spark: SparkSession, sf_dir: str, agency: bool = False, category: bool
     rows = spend(spark, sf_dir, agency=agency, category=category, order=True).filter(score >= 0.40)
     extra = (["agency"] if agency else []) + (["category", "description"] if category else [])
     return rows.select(
-        F.concat(F.lit("case-"), "tx_id").alias("case_id"), "tx_id", "vendor_id", "cents", *extra,
+        F.concat(F.lit("case-"), "tx_id").alias("case_id"), "tx_id", F.col("l_linenumber").alias("ln"), "l_orderkey",
+        "vendor_id", "cents", *extra,
         "ml_score",
         F.when(F.col("o_orderstatus") == "O", "OPEN").when(F.col("o_orderstatus") == "P", "IN_REVIEW")
         .otherwise("CLOSED").alias("status"),

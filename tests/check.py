@@ -26,7 +26,7 @@ def canon(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
         if isinstance(v, (list, tuple)) or hasattr(v, "tolist") and getattr(v, "ndim", 0) == 1:
             return tuple(cell(x) for x in v)
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return None
         if isinstance(v, bool):
             return v
