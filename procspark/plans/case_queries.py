@@ -80,10 +80,10 @@ def blended(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("blend_score", BLEND_SQL + """
-SELECT tx_id, round(ml_score, 5) AS ml_score, rule_score, vendor_risk_score, graph_risk_score, round(anomaly_score, 5) AS anomaly_score FROM blended""")
+SELECT tx_id, round(ml_score, 5) AS ml_score, rule_score, vendor_risk_score, graph_risk_score, round(anomaly_score, 8) AS anomaly_score FROM blended""")
 def _(spark, sf):
     return blended(spark, sf).select("tx_id", F.round("ml_score", 5).alias("ml_score"), "rule_score", "vendor_risk_score",
-                                     "graph_risk_score", F.round("anomaly_score", 5).alias("anomaly_score"))
+                                     "graph_risk_score", F.round("anomaly_score", 8).alias("anomaly_score"))
 
 
 @query("score_batch", BLEND_SQL + """
