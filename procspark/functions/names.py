@@ -32,6 +32,11 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def _or_placeholder(text: Column, placeholder: str) -> Column:
+    """The placeholder for empty text, written so that the long expression is evaluated once."""
+    return F.regexp_replace(text, "^$", placeholder)
+
+
 def normalize_vendor_name(c: Column, strip_marks: bool = False) -> Column:
     """Lower case letters and digits without legal-form words; nothing left gives the placeholder.
 
@@ -42,7 +47,7 @@ def normalize_vendor_name(c: Column, strip_marks: bool = False) -> Column:
         text = F.regexp_replace(text, r"\p{M}", "")
     text = F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " ")
     text = squeeze(F.regexp_replace(text, r"\b(" + "|".join(LEGAL_WORDS) + r")\b", ""))
-    return F.when(text == "", UNKNOWN_VENDOR_CLEAN).otherwise(text)
+    return _or_placeholder(text, UNKNOWN_VENDOR_CLEAN)
 
 
 def normalize_vendor_name_loose(c: Column) -> Column:
@@ -52,7 +57,7 @@ def normalize_vendor_name_loose(c: Column) -> Column:
 
 def normalize_buyer_name(c: Column) -> Column:
     text = squeeze(nfkd(F.coalesce(c, F.lit(""))))
-    return F.when(text == "", UNKNOWN_BUYER).otherwise(text)
+    return _or_placeholder(text, UNKNOWN_BUYER)
 
 
 def uuid5_dns(name: Column) -> Column:

@@ -341,35 +341,37 @@ def agency_amount_mean(df: DataFrame) -> DataFrame:
         _ratio(F.sum("cents"), F.count("cents") * F.lit(100.0)).alias("agency_mean"))
 
 
-def agency_rate(features: DataFrame) -> DataFrame:
-    """Mean over vendors of each vendor's mean 30-day count at the agency."""
+def agency_peers(features: DataFrame) -> DataFrame:
+    """Per agency the mean amount and the mean over vendors of each vendor's mean 30-day count, in one pass."""
     per_vendor = features.filter(F.col("agency").isNotNull()).groupBy("agency", "vendor_id").agg(
-        F.avg("invoice_count_30d").alias("rate"))
-    return per_vendor.groupBy("agency").agg(F.avg("rate").alias("agency_rate"))
+        F.avg("invoice_count_30d").alias("rate"), F.sum("cents").alias("cents"), F.count("cents").alias("n"))
+    return per_vendor.groupBy("agency").agg(
+        F.avg("rate").alias("agency_rate"), _ratio(F.sum("cents"), F.sum("n") * F.lit(100.0)).alias("agency_mean"))
+
+
+def _vs_mean() -> Column:
+    return F.coalesce(_money(F.col("cents")) / (F.col("agency_mean") + 1.0), F.lit(1.0)).alias("amount_vs_category_avg")
+
+
+def _vs_rate() -> Column:
+    return (F.col("invoice_count_30d") / (F.coalesce("agency_rate", F.lit(1.0)) + 0.1)).alias("invoice_freq_vs_category")
 
 
 def amount_vs_agency(df: DataFrame) -> DataFrame:
     """F20; needs no history, only the agency means."""
-    return df.join(lookup(agency_amount_mean(df)), "agency", "left").select(
-        *df.columns,
-        F.coalesce(_money(F.col("cents")) / (F.col("agency_mean") + 1.0), F.lit(1.0)).alias("amount_vs_category_avg"))
+    return df.join(lookup(agency_amount_mean(df)), "agency", "left").select(*df.columns, _vs_mean())
 
 
 def frequency_vs_agency(features: DataFrame) -> DataFrame:
     """F21 from the 30-day counts; rows without an agency are compared to a rate of one."""
-    return features.join(lookup(agency_rate(features)), "agency", "left").select(
-        *features.columns,
-        (F.col("invoice_count_30d") / (F.coalesce(F.col("agency_rate"), F.lit(1.0)) + 0.1))
-        .alias("invoice_freq_vs_category"))
+    return features.join(lookup(agency_peers(features)), "agency", "left").select(*features.columns, _vs_rate())
 
 
 def feature_matrix(df: DataFrame, hot_rows: int = HOT_ROWS, n_slices: int | None = None) -> DataFrame:
     """All 22 features in their fixed order, next to the key columns."""
     if "agency" in df.columns:
-        feats = frequency_vs_agency(temporal_features(df, hot_rows, n_slices))
-        feats = feats.join(lookup(agency_amount_mean(df)), "agency", "left").withColumn(
-            "amount_vs_category_avg",
-            F.coalesce(_money(F.col("cents")) / (F.col("agency_mean") + 1.0), F.lit(1.0)))
+        feats = temporal_features(df, hot_rows, n_slices)
+        feats = feats.join(lookup(agency_peers(feats)), "agency", "left").select(*feats.columns, _vs_mean(), _vs_rate())
     else:
         feats = temporal_features(df, hot_rows, n_slices).withColumns(
             {"amount_vs_category_avg": F.lit(1.0), "invoice_freq_vs_category": F.lit(1.0)})
@@ -415,50 +417,54 @@ AS_OF = ["invoice_count_30d", "vendor_avg_amount", "amount_std_30d", "invoice_co
 def temporal_as_of(df: DataFrame, hot_rows: int = HOT_ROWS, n_slices: int | None = None) -> DataFrame:
     """the vendor's rows strictly before the reference time; rows of the same time do not count.
 
-    Rows of one (vendor, time) share their result, so the series is first reduced to one row per
-    (vendor, time) with exact totals; hot vendors go through the same slices as the batch features.
+    Rows without a vendor or a time get zeros and take no part in the windows. Hot vendors go through the same
+    slices as the batch features.
     """
-    rows = df.withColumn("us", micros("ts"))
-    sq = F.col("cents").cast("decimal(19,0)") * F.col("cents").cast("decimal(19,0)")
-    steps = rows.filter(F.col("vendor_id").isNotNull() & F.col("us").isNotNull()).groupBy("vendor_id", "us").agg(
-        F.count("*").alias("n"), F.sum("cents").alias("s"), F.sum(sq.cast("decimal(38,0)")).alias("q"))
-    hot = hot_vendors(steps, hot_rows)
+    usable = F.col("vendor_id").isNotNull() & F.col("ts").isNotNull()
+    rows = df.filter(usable).withColumn("us", micros("ts"))
+    hot = hot_vendors(df.filter(usable), hot_rows)
     if hot.isEmpty():
-        stats = _as_of_windows(steps)
+        parts = [_as_of_windows(rows)]
     else:
-        stats = _as_of_windows(steps.join(hot, "vendor_id", "left_anti")).unionByName(
-            _as_of_sweep(steps.join(hot, "vendor_id", "left_semi"), n_slices))
+        parts = [_as_of_windows(rows.join(hot, "vendor_id", "left_anti")),
+                 _as_of_sweep(rows.join(hot, "vendor_id", "left_semi"), n_slices)]
+    stats = reduce(DataFrame.unionByName, parts)
     zero = F.lit(0)
-    n30, s30, q30 = (F.coalesce(F.col(c), zero) for c in ("n30", "s30", "q30"))
-    avg = F.when(n30 > 0, _ratio(s30, n30 * F.lit(100.0))).otherwise(0.0)
-    exact = n30.cast("decimal(12,0)") * q30 - s30.cast("decimal(19,0)") * s30.cast("decimal(19,0)")
-    std = F.when(n30 > 0, F.sqrt(exact.cast("double")) / n30 / 100.0).otherwise(0.0)
-    out = rows.join(stats, ["vendor_id", "us"], "left").select(
+    n30 = F.col("n30")
+    out = stats.select(
         *df.columns,
-        n30.cast("double").alias("invoice_count_30d"), avg.alias("vendor_avg_amount"),
-        std.alias("amount_std_30d"),
-        F.coalesce(F.col("n7"), zero).cast("double").alias("invoice_count_7d"),
-        _money(F.coalesce(F.col("s7"), zero)).alias("rolling_7d_sum"),
-        F.coalesce(F.col("n24"), zero).cast("double").alias("invoice_count_24h"),
-        F.coalesce(F.col("n48"), zero).cast("double").alias("invoice_count_48h"),
+        n30.cast("double").alias("invoice_count_30d"),
+        F.when(n30 > 0, _ratio(F.col("s30"), n30 * F.lit(100.0))).otherwise(0.0).alias("vendor_avg_amount"),
+        F.coalesce("std30", F.lit(0.0)).alias("amount_std_30d"),
+        F.col("n7").cast("double").alias("invoice_count_7d"),
+        _money(F.coalesce("s7", zero)).alias("rolling_7d_sum"),
+        F.col("n24").cast("double").alias("invoice_count_24h"),
+        F.col("n48").cast("double").alias("invoice_count_48h"),
     )
     z = (_money(F.col("cents")) - F.col("vendor_avg_amount")) / F.col("amount_std_30d")
-    return out.withColumn("amount_zscore_30d", F.when(F.col("amount_std_30d") > 0, z).otherwise(0.0))
+    out = out.withColumn("amount_zscore_30d", F.when(F.col("amount_std_30d") > 0, z).otherwise(0.0))
+    bare = df.filter(~usable).select(*df.columns, *[F.lit(0.0).alias(c) for c in AS_OF])
+    return out.select(*df.columns, *AS_OF).unionByName(bare)
 
 
-def _as_of_windows(steps: DataFrame) -> DataFrame:
+def _as_of_windows(rows: DataFrame) -> DataFrame:
+    """Frames that end one microsecond before the row, so equal times share a result without being joined back."""
     by_time = Window.partitionBy("vendor_id").orderBy("us")
     back = lambda width: by_time.rangeBetween(-width, -1)
-    return steps.select(
-        "vendor_id", "us",
-        F.sum("n").over(back(DAY)).alias("n24"), F.sum("n").over(back(2 * DAY)).alias("n48"),
-        F.sum("n").over(back(7 * DAY)).alias("n7"), F.sum("s").over(back(7 * DAY)).alias("s7"),
-        F.sum("n").over(back(30 * DAY)).alias("n30"), F.sum("s").over(back(30 * DAY)).alias("s30"),
-        F.sum("q").over(back(30 * DAY)).cast("decimal(38,0)").alias("q30"),
+    return rows.select(
+        *rows.columns,
+        F.count("*").over(back(DAY)).alias("n24"), F.count("*").over(back(2 * DAY)).alias("n48"),
+        F.count("*").over(back(7 * DAY)).alias("n7"), F.sum("cents").over(back(7 * DAY)).alias("s7"),
+        F.count("*").over(back(30 * DAY)).alias("n30"), F.sum("cents").over(back(30 * DAY)).alias("s30"),
+        F.stddev_pop(F.col("cents") / F.lit(100.0)).over(back(30 * DAY)).alias("std30"),
     )
 
 
-def _as_of_sweep(steps: DataFrame, n_slices: int | None) -> DataFrame:
+def _as_of_sweep(rows: DataFrame, n_slices: int | None) -> DataFrame:
+    """One exact row per (vendor, time), running totals over rows and probes, and the result joined back."""
+    sq = F.col("cents").cast("decimal(19,0)") * F.col("cents").cast("decimal(19,0)")
+    steps = rows.groupBy("vendor_id", "us").agg(
+        F.count("*").alias("n"), F.sum("cents").alias("s"), F.sum(sq.cast("decimal(38,0)")).alias("q"))
     widths = {"24": DAY, "48": 2 * DAY, "7": 7 * DAY, "30": 30 * DAY}
     marks = [F.struct(F.col("us").alias("at"), F.lit(1).alias("kind"), F.lit("row").alias("mark"))]
     marks += [F.struct((F.col("us") - w).alias("at"), F.lit(0).alias("kind"), F.lit(m).alias("mark"))
@@ -469,7 +475,12 @@ def _as_of_sweep(steps: DataFrame, n_slices: int | None) -> DataFrame:
     line = running_sums(line, ["vendor_id"], ["at", "kind", "us", "mark"], ["n", "s", "q"], n_slices)
     at = lambda m, c: F.max(F.when(F.col("mark") == m, F.col(f"{c}_before")))
     since = lambda m, c: at("row", c) - at(m, c)
-    return line.groupBy("vendor_id", "us").agg(
+    stats = line.groupBy("vendor_id", "us").agg(
         since("24", "n").alias("n24"), since("48", "n").alias("n48"), since("7", "n").alias("n7"),
         since("7", "s").alias("s7"), since("30", "n").alias("n30"), since("30", "s").alias("s30"),
-        since("30", "q").cast("decimal(38,0)").alias("q30"))
+        since("30", "q").alias("q30"))
+    exact = (F.col("n30").cast("decimal(12,0)") * F.col("q30")
+             - F.col("s30").cast("decimal(19,0)") * F.col("s30").cast("decimal(19,0)"))
+    std = F.when(F.col("n30") > 0, F.sqrt(exact.cast("double")) / F.col("n30") / 100.0)
+    return rows.join(stats.withColumn("std30", std).drop("q30"), ["vendor_id", "us"]).select(
+        *rows.columns, "n24", "n48", "n7", "s7", "n30", "s30", "std30")

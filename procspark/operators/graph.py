@@ -139,23 +139,42 @@ def _node(kind: str) -> Column:
 
 
 def award_edges(df: DataFrame) -> DataFrame:
-    """Vendor-buyer and buyer-category edges weighted by records (columns vendor, buyer, category)."""
-    one = lambda a, b, name: df.groupBy(_node(a).alias("src"), _node(b).alias("dst")).agg(
-        F.count("*").alias("weight")).withColumn("relation", F.lit(name))
+    """Vendor-buyer and buyer-category edges weighted by records (columns vendor, buyer, category).
+
+    Both come from one count per (vendor, buyer, category), so the records are shuffled once.
+    """
+    counts = df.groupBy("vendor", "buyer", "category").agg(F.count("*").alias("n"))
+    one = lambda a, b, name: counts.groupBy(_node(a).alias("src"), _node(b).alias("dst")).agg(
+        F.sum("n").alias("weight")).withColumn("relation", F.lit(name))
     return one("vendor", "buyer", "vendor_buyer").unionByName(one("buyer", "category", "buyer_category"))
 
 
 def shared_buyer_edges(edges: DataFrame, block_rows: int = 2_000) -> DataFrame:
-    """Vendor-vendor edges weighted by shared buyers. The pairs are the result, so they are all formed, but in
-    tiles, and combined map-side."""
+    """Vendor-vendor edges weighted by shared buyers.
+
+    The pairs are the result, so all of them are formed, but shared buyers are only counted between classes of
+    vendors with equal buyers; members then take the weight of their classes, in tiles of bounded size.
+    """
     links = edges.filter(F.col("relation") == "vendor_buyer").select(F.col("src").alias("vendor"), F.col("dst").alias("buyer"))
-    pairs = pair_tiles(links, ["buyer"], "vendor", block_rows=block_rows)
-    return pairs.groupBy(F.least("l_vendor", "r_vendor").alias("src"), F.greatest("l_vendor", "r_vendor").alias("dst")).agg(
-        F.count("*").alias("weight")).withColumn("relation", F.lit("shared_buyer"))
+    classes = cut(neighbour_classes(links, "vendor", "buyer"))
+    heads = classes.filter(F.col("vendor") == F.col("class")).select("vendor")
+    head_links = links.join(heads, "vendor", "left_semi")
+    between = pair_tiles(head_links, ["buyer"], "vendor", block_rows=block_rows).groupBy(
+        F.least("l_vendor", "r_vendor").alias("lc"), F.greatest("l_vendor", "r_vendor").alias("rc")).agg(F.count("*").alias("weight"))
+    # members of two classes meet on the class pair, each side tagged as left or right
+    member = classes.select("vendor", "class")
+    left = between.join(member.withColumnRenamed("class", "lc"), "lc").select("lc", "rc", "weight", "vendor", F.lit(0).alias("side"))
+    right = between.join(member.withColumnRenamed("class", "rc"), "rc").select("lc", "rc", "weight", "vendor", F.lit(1).alias("side"))
+    across = pair_tiles(left.unionByName(right), ["lc", "rc", "weight"], "vendor", block_rows=block_rows, two_sided=True)
+    within = pair_tiles(classes.filter(F.col("size") > 1), ["class", "degree"], "vendor", block_rows=block_rows)
+    pairs = across.select("l_vendor", "r_vendor", "weight").unionByName(
+        within.select("l_vendor", "r_vendor", F.col("degree").alias("weight")))
+    return pairs.select(F.least("l_vendor", "r_vendor").alias("src"), F.greatest("l_vendor", "r_vendor").alias("dst"),
+                        "weight", F.lit("shared_buyer").alias("relation"))
 
 
 def relationship_edges(df: DataFrame) -> DataFrame:
-    edges = award_edges(df)
+    edges = cut(award_edges(df))
     return edges.unionByName(shared_buyer_edges(edges))
 
 

@@ -10,6 +10,7 @@ from procspark.operators import features as feat
 from procspark.plans.audit_queries import SPEND_TEMPORAL, burst_rows, spend_rows
 from procspark.plans.case_queries import ATTR_SQL, attributions
 from procspark.registry import query
+from procspark.session import cut
 from procspark.sources.tables import spend, table
 
 # scores and labels by arithmetic on the keys: the label follows the score with noise
@@ -105,14 +106,15 @@ def _(spark, sf):
 
 
 def scaled_features(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.robust_scale(feat.feature_matrix(burst_rows(spark, sf)), feat.FEATURES)
+    # read three times: ranked for the scale, sampled for the trees, scored
+    return evaluate.robust_scale(cut(feat.feature_matrix(burst_rows(spark, sf))), feat.FEATURES)
 
 
 @query("isolation_forest")
 def _(spark, sf):
     rows = scaled_features(spark, sf)
     model = forest.fit(rows, "tx_id", feat.FEATURES)
-    found = forest.sample_score(rows, model)
+    found = cut(forest.sample_score(rows.select("tx_id", "vendor_id", *feat.FEATURES), model).select("tx_id", "vendor_id", "sample_score"))
     return forest.decision(found, forest.offset_for(found, 0.05)).select("tx_id", "vendor_id", "sample_score", "decision")
 
 
