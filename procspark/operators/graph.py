@@ -160,7 +160,7 @@ def shared_buyer_edges(edges: DataFrame, block_rows: int = 2_000) -> DataFrame:
     heads = classes.filter(F.col("vendor") == F.col("class")).select("vendor")
     head_links = links.join(heads, "vendor", "left_semi")
     between = pair_tiles(head_links, ["buyer"], "vendor", block_rows=block_rows).groupBy(
-        F.least("l_vendor", "r_vendor").alias("lc"), F.greatest("l_vendor", "r_vendor").alias("rc")).agg(F.count("*").alias("weight"))
+        F.col("l_vendor").alias("lc"), F.col("r_vendor").alias("rc")).agg(F.count("*").alias("weight"))
     # members of two classes meet on the class pair, each side tagged as left or right
     member = classes.select("vendor", "class")
     left = between.join(member.withColumnRenamed("class", "lc"), "lc").select("lc", "rc", "weight", "vendor", F.lit(0).alias("side"))

@@ -66,7 +66,7 @@ def _topk_blocks(vectors: DataFrame, queries: DataFrame, k: int, threshold: floa
     """More queries than one block: vectors and query blocks meet by block number, spread over the tasks."""
     n = queries.count() // QUERY_BLOCK + 1
     blocks = queries.select("query_id", F.col("vec").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("block"))
-    copies = vectors.select("chunk_id", "vec", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint").alias("block"))
+    copies = vectors.select("chunk_id", "vec", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("block"))
     pairs = copies.join(blocks, "block").select("query_id", "chunk_id", dot(F.col("vec"), F.col("q")).alias("score"))
     return _ranked(pairs.filter(F.col("score") >= threshold), ["query_id"], k).withColumn("score", F.round("score", 4))
 
