@@ -5,6 +5,7 @@ from procspark.session import build
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build("local[8]", shuffle_partitions=4)
+    # tiny inputs: compiling the plans would take longer than interpreting them
+    session = build("local[8]", shuffle_partitions=4, **{"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"})
     yield session
     session.stop()
