@@ -117,7 +117,7 @@ def _register_feature(name: str) -> None:
     source = "matrix" if peer else "temporal"
     text = (SPEND_MATRIX if peer else BURST_TEMPORAL) + f"\nSELECT tx_id, vendor_id, round({name}, {DIGITS_OF[name]}) AS {name} FROM {source}"
 
-    @query(name, text)
+    @query(name, text, doubles=[name])
     def _(spark: SparkSession, sf: str) -> DataFrame:
         if name == "amount_vs_category_avg":
             df = feat.amount_vs_agency(spend_rows(spark, sf))
@@ -134,14 +134,16 @@ for _name in feat.FEATURES:
 
 
 @query("feature_matrix", SPEND_MATRIX + "\nSELECT tx_id, vendor_id, "
-       + ", ".join(f"round({c}, {DIGITS_OF[c]}) AS {c}" for c in feat.FEATURES) + " FROM matrix")
+       + ", ".join(f"round({c}, {DIGITS_OF[c]}) AS {c}" for c in feat.FEATURES) + " FROM matrix",
+       doubles=feat.FEATURES)
 def _(spark, sf):
     return rounded(feat.feature_matrix(spend_rows(spark, sf)).select("tx_id", "vendor_id", *feat.FEATURES),
                    feat.FEATURES)
 
 
 @query("feature_matrix_bursts", BURST_MATRIX + "\nSELECT tx_id, vendor_id, "
-       + ", ".join(f"round({c}, {DIGITS_OF[c]}) AS {c}" for c in feat.FEATURES) + " FROM matrix")
+       + ", ".join(f"round({c}, {DIGITS_OF[c]}) AS {c}" for c in feat.FEATURES) + " FROM matrix",
+       doubles=feat.FEATURES)
 def _(spark, sf):
     return rounded(feat.feature_matrix(burst_rows(spark, sf)).select("tx_id", "vendor_id", *feat.FEATURES),
                    feat.FEATURES)
@@ -185,7 +187,7 @@ SELECT tx_id, vendor_id, round(amount_log, 6) AS amount_log, 0.0 AS vendor_30d_v
     AS freq_change_rate,
   0.0 AS amount_zscore_30d, 0.0 AS invoice_spacing_cv, 0.0 AS small_invoice_cluster_14d,
   1.0 AS amount_vs_category_avg, 1.0 AS invoice_freq_vs_category
-FROM temporal""")
+FROM temporal""", doubles=feat.FEATURES)
 def _(spark, sf):
     rows = spend(spark, sf).select("vendor_id", "tx_id", "ts", "cents")
     history = feat.temporal_features(rows).select(

@@ -250,7 +250,7 @@ def reports(df: DataFrame) -> DataFrame:
 
 
 @query("verdict_validation", WITH_CASES + """
-SELECT case_id, 'FRAUD' AS verdict, 'clause ' || ln AS violated_clause, 0.75 AS confidence FROM cases WHERE ln NOT IN (2, 3, 4, 5)""")
+SELECT case_id, 'FRAUD' AS verdict, 'clause ' || ln AS violated_clause, 0.75 AS confidence FROM cases WHERE ln NOT IN (2, 3, 4, 5)""", doubles=["confidence"])
 def _(spark, sf):
     good, _ = C.verdict_validation(reports(cases(spark, sf)))
     return good.select("case_id", "verdict", "violated_clause", "confidence")
@@ -259,7 +259,7 @@ def _(spark, sf):
 @query("apply_verdicts", WITH_CASES + """
 SELECT case_id, CASE WHEN ln = 7 THEN escalated ELSE escalated OR ln = 1 END AS escalated, CASE WHEN ln = 7 THEN risk_level ELSE 'MEDIUM' END AS risk,
   CASE WHEN ln = 7 THEN verdict WHEN NOT (escalated OR ln = 1) THEN 'INCONCLUSIVE' WHEN ln IN (1, 6) THEN 'FRAUD' ELSE verdict END AS verdict,
-  CASE WHEN ln = 7 THEN 0.5 WHEN NOT (escalated OR ln = 1) THEN NULL WHEN ln IN (1, 6) THEN 0.75 ELSE 0.5 END AS confidence FROM cases""")
+  CASE WHEN ln = 7 THEN 0.5 WHEN NOT (escalated OR ln = 1) THEN NULL WHEN ln IN (1, 6) THEN 0.75 ELSE 0.5 END AS confidence FROM cases""", doubles=["confidence"])
 def _(spark, sf):
     df = cases(spark, sf)
     stored = df.select("case_id", "escalated", "risk_level", "verdict", F.lit(0.5).alias("confidence"),

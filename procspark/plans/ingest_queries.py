@@ -139,7 +139,7 @@ OCDS_SQL = """
 ocds AS (
   SELECT tx_id AS transaction_id, 'Council' AS buyer,
     CASE WHEN ln % 2 = 0 THEN s_name ELSE s_name || ' Ltd' END AS vendor, cents, 'GBP' AS currency, ts AS "timestamp",
-    'OCDS' AS source, NULL AS description, 'works' AS category, 'GB' AS country
+    'OCDS' AS source, CAST(NULL AS VARCHAR) AS description, 'works' AS category, 'GB' AS country
   FROM feed WHERE src = 'OCDS'
 )"""
 SOURCES_SQL = "WITH " + ",".join([FEED_SQL, USA_SQL, CPPP_SQL, OCDS_SQL]) + """, canonical AS (

@@ -31,12 +31,12 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
                                                F.col("l_returnflag").alias("type"))
 
 
-@query("threshold_sweep", SWEEP_SQL + " SELECT * FROM sweep")
+@query("threshold_sweep", SWEEP_SQL + " SELECT * FROM sweep", doubles=["threshold"])
 def _(spark, sf):
     return evaluate.threshold_sweep(scored(spark, sf))
 
 
-@query("optimal_threshold", SWEEP_SQL + ' SELECT * FROM sweep ORDER BY "precision" >= 0.60 DESC, f1 DESC, threshold LIMIT 1')
+@query("optimal_threshold", SWEEP_SQL + ' SELECT * FROM sweep ORDER BY "precision" >= 0.60 DESC, f1 DESC, threshold LIMIT 1', doubles=["threshold"])
 def _(spark, sf):
     return evaluate.optimal_threshold(evaluate.threshold_sweep(scored(spark, sf)))
 
@@ -77,7 +77,7 @@ n AS (SELECT label, contamination, greatest(0.0, least(1.0, 0.5 - (-CAST(score A
 c AS (SELECT contamination, thr, count(*) FILTER (WHERE v >= CAST(thr AS DOUBLE)) AS n, count(*) FILTER (WHERE v >= CAST(thr AS DOUBLE) AND label = 1) AS hit, sum(label) AS pos FROM n, t GROUP BY 1, 2),
 s AS (SELECT contamination, round(thr, 2) AS threshold, round(CASE WHEN n = 0 THEN 1.0 ELSE hit / n END, 3) AS "precision", round(CASE WHEN n = 0 THEN 0.0 ELSE hit / pos END, 3) AS recall,
   round(CASE WHEN n = 0 OR hit = 0 THEN 0.0 ELSE 2.0 * hit / (n + pos) END, 3) AS f1 FROM c)
-SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY contamination ORDER BY f1 DESC, threshold) = 1""")
+SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY contamination ORDER BY f1 DESC, threshold) = 1""", doubles=["contamination", "threshold"])
 def _(spark, sf):
     rows = scored(spark, sf).withColumn("sample_score", -F.col("score"))
     return evaluate.tune_contamination(rows, CANDIDATES)
@@ -95,7 +95,7 @@ def _(spark, sf):
 
 
 @query("exact_quantiles", """WITH u AS (SELECT 'l_extendedprice' AS feature, l_extendedprice AS v FROM lineitem UNION ALL SELECT 'l_quantity', l_quantity FROM lineitem)
-SELECT feature, p AS prob, round(q, 6) AS value FROM (SELECT feature, unnest([0.1, 0.5, 0.9]) AS p, unnest(quantile_cont(v, [0.1, 0.5, 0.9])) AS q FROM u GROUP BY feature)""")
+SELECT feature, p AS prob, round(q, 6) AS value FROM (SELECT feature, unnest([0.1, 0.5, 0.9]) AS p, unnest(quantile_cont(v, [0.1, 0.5, 0.9])) AS q FROM u GROUP BY feature)""", doubles=["prob"])
 def _(spark, sf):
     return evaluate.exact_quantiles(table(spark, sf, "lineitem"), ["l_extendedprice", "l_quantity"], [0.1, 0.5, 0.9]).select(
         "feature", "prob", F.round("value", 6).alias("value"))

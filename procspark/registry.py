@@ -14,8 +14,11 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register ``fn(spark, sf_dir)`` under ``name``, with its DuckDB text if SQL can say it."""
+def query(name: str, sql: str | None = None, doubles: list[str] = ()) -> Callable[[Query], Query]:
+    """Register ``fn(spark, sf_dir)`` under ``name``, with its DuckDB text if SQL can say it.
+
+    ``doubles`` names columns whose literals DuckDB would type as decimals.
+    """
 
     def add(fn: Query) -> Query:
         if name in QUERIES:
@@ -27,7 +30,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         run.__name__ = name
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = sql
+            casts = ", ".join(f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in doubles)
+            ORACLES[name] = f"SELECT * REPLACE ({casts}) FROM (\n{sql}\n)" if doubles else sql
         return fn
 
     return add
