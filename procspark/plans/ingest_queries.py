@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from procspark.functions import names, values
 from procspark.operators import quality, upserts
 from procspark.registry import query
+from procspark.session import spread
 from procspark.sources import awards, payloads, topics
 from procspark.sources.tables import SPEND_SQL, cents, spend, table
 
@@ -39,7 +40,7 @@ def feed(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "A", "USA").when(F.col("l_returnflag") == "N", "CPPP")
         .otherwise("OCDS").alias("src"))
     supplier = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    return lines.join(supplier, lines.l_suppkey == supplier.s_suppkey).drop("s_suppkey")
+    return spread(lines).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).drop("s_suppkey")
 
 
 def _text(c: str = "cents") -> Column:

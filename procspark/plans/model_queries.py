@@ -10,7 +10,7 @@ from procspark.operators import features as feat
 from procspark.plans.audit_queries import SPEND_TEMPORAL, burst_rows, spend_rows
 from procspark.plans.case_queries import ATTR_SQL, attributions
 from procspark.registry import query
-from procspark.session import cut
+from procspark.session import cut, spread
 from procspark.sources.tables import spend, table
 
 # scores and labels by arithmetic on the keys: the label follows the score with noise
@@ -170,7 +170,7 @@ def _(spark, sf):
 def spellings(spark: SparkSession, sf: str) -> DataFrame:
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z]+)"), F.lit(1))
     base = F.concat_ws(" ", F.slice(words, 1, 3))
-    docs = table(spark, sf, "documents").select("doc_id", base.alias("base"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", base.alias("base"))
     kinds: list[Column] = [F.col("base"), F.concat(F.initcap("base"), F.lit(", Ltd.")), F.concat("base", F.lit("s & Co"))]
     return docs.select(F.posexplode(F.array(*kinds)).alias("k", "name"), "doc_id").select(
         "name", (F.col("doc_id") * 3 + F.col("k")).alias("place"))

@@ -69,6 +69,13 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal a scan that comes in fewer tasks than the session shuffles into (small files, few row groups) over
+    all of them before heavy per-row work. Large inputs already have more tasks and pass unchanged."""
+    width = shuffle_width(scan.sparkSession)
+    return scan if scan.rdd.getNumPartitions() >= width else scan.repartition(width)
+
+
 LOOKUP_ROWS = 200_000
 
 
