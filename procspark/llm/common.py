@@ -68,3 +68,10 @@ def ragged(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def hex_sha256(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed vocabulary files are; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procspark import registry
-from procspark.llm import html_extract, quality_bands, secret_scan
-from procspark.llm.common import hex_sha256, only, ready
+from procspark.llm import html_extract, line_spread, packing, quality_bands, secret_scan, simhash_golay
+from procspark.llm.common import hex_sha256, ready, tokenizer_path
 from procspark.sources.tables import table
 
 
@@ -42,3 +42,36 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_quality_rules")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bands.measure(table(spark, sf_dir, "documents"))
+
+
+@query("op4_best_fit_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = packing.Limits()
+    pieces = packing.tokenize(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), tokens=limits.tokens)
+    return packing.pack(pieces, limits)
+
+
+LINE_SQL = r"""
+WITH rows AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines, length(text) AS size FROM documents),
+cut AS (SELECT doc_id, source, trim(u.line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM rows, unnest(lines) AS u(line)),
+spread AS (SELECT line FROM cut WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
+marked AS (SELECT doc_id, list(DISTINCT line) AS gone FROM cut JOIN spread USING (line) GROUP BY doc_id),
+judged AS (
+  SELECT doc_id, lines, size,
+         list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)))) AS stays
+  FROM rows LEFT JOIN marked USING (doc_id)),
+summed AS (SELECT *, coalesce(list_sum(list_transform(lines, lambda x: length(x))), 0) - coalesce(list_sum(list_transform(stays, lambda x: length(x))), 0) <= size * 0.5 AS take FROM judged)
+SELECT doc_id, CASE WHEN take THEN array_to_string(stays, chr(10)) ELSE array_to_string(lines, chr(10)) END AS text,
+       CAST(len(list_filter(lines, lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> '')) AS BIGINT) AS n_lines,
+       CAST(CASE WHEN take THEN len(lines) - len(stays) ELSE 0 END AS BIGINT) AS n_removed
+FROM summed"""
+
+
+@query("op5_line_dedup", LINE_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_spread.strip_boilerplate(table(spark, sf_dir, "documents"))
+
+
+@query("op6_simhash_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
