@@ -25,23 +25,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``src, dst`` -> ``node, component``; a component is named by its smallest node.
 
-    Every round is frozen in the shared folder. A hub only ever meets one-row-per-node minima, so its join is
+    Rounds go on until none changes an edge; their number grows with the logarithm of the longest path. Every round is frozen in the shared folder. A hub only ever meets one-row-per-node minima, so its join is
     split by the run-time skew handling and nothing is collected per node.
     """
     self_loops = edges.filter(F.col("src") == F.col("dst")).select(F.col("src").alias("node"))
     now = cut(edges.filter(F.col("src") != F.col("dst")).select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct())
     mark = _mark(now)
-    for _ in range(max_rounds):
+    while True:
         now = cut(_small_star(_large_star(now)))
         new = _mark(now)
         if new == mark:
             break
         mark = new
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     member = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node")).unionByName(self_loops).distinct()
     roots = roots.join(member.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
