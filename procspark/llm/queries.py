@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procspark import registry
-from procspark.llm import html_extract, line_spread, packing, quality_bands, secret_scan, simhash_golay
+from procspark.llm import chat_format, html_extract, line_spread, packing, quality_bands, secret_scan, simhash_golay, substring_dedup
 from procspark.llm.common import hex_sha256, ready, tokenizer_path
 from procspark.sources.tables import table
 
@@ -75,3 +75,40 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_simhash_near_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", hex_sha256(F.col("text")).alias("kept_sha256"))
+
+
+CHAT_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked AS (
+  SELECT *, coalesce(lag(role) OVER w = role, false) AS goes_on,
+         regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g') AS escaped
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(escaped) + CASE WHEN goes_on THEN 8 ELSE length(role) + 11 END) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id"""
+# a run of one role has one header `<|role|>` and one `<|end|>`; every further turn of it has one `<|turn|>`
+
+
+@query("op8_chat_formatting", CHAT_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', :t), (-7L, 1L, 'assistant', :t) AS v(conv_id, turn, role, text)", {"t": control})
+    found = chat_format.read_back(chat_format.format_chats(rows.unionByName(extra)))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("under_mask", "")
+    fits = F.when(F.col("fits"), loss).otherwise(F.raise_error(F.lit("the mask does not fit the text")))
+    return found.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), hex_sha256(told).alias("turns_sha256"),
+        F.length(loss).cast("bigint").alias("loss_chars"), hex_sha256(fits).alias("loss_sha256"), F.col("n_chars").cast("bigint").alias("formatted_chars"))
