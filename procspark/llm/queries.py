@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procspark import registry
-from procspark.llm import chat_format, html_extract, line_spread, packing, quality_bands, secret_scan, simhash_golay, substring_dedup
+from procspark.llm import chat_format, decontaminate, html_extract, line_spread, packing, quality_bands, secret_scan, simhash_golay, substring_dedup
 from procspark.llm.common import hex_sha256, ready, tokenizer_path
 from procspark.sources.tables import table
 
@@ -112,3 +112,22 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), hex_sha256(told).alias("turns_sha256"),
         F.length(loss).cast("bigint").alias("loss_chars"), hex_sha256(fits).alias("loss_sha256"), F.col("n_chars").cast("bigint").alias("formatted_chars"))
+
+
+LEAK_SQL = r"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+words AS (
+  SELECT kind, id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+                               lambda w: w <> '') AS w FROM texts),
+runs AS (
+  SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s FROM words),
+sized AS (SELECT id, s, count(*) OVER (PARTITION BY id) AS n FROM runs WHERE kind = 'b')
+SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared, n AS n_shingles, count(*) / n AS containment
+FROM runs d JOIN sized b USING (s) WHERE kind = 'd' GROUP BY d.id, b.id, n HAVING count(*) >= 0.8 * n"""
+
+
+@query("op10_benchmark_decontamination", LEAK_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
