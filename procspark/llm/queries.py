@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procspark import registry
-from procspark.llm import chat_format, decontaminate, html_extract, line_spread, packing, quality_bands, secret_scan, simhash_golay, substring_dedup
+from procspark.llm import chat_format, decontaminate, html_extract, line_spread, lm_maxent, packing, quality_bands, secret_scan, simhash_golay, substring_dedup
 from procspark.llm.common import hex_sha256, ready, tokenizer_path
 from procspark.sources.tables import table
 
@@ -114,6 +114,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(loss).cast("bigint").alias("loss_chars"), hex_sha256(fits).alias("loss_sha256"), F.col("n_chars").cast("bigint").alias("formatted_chars"))
 
 
+@query("op9_lm_scoring")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_maxent.score_texts(table(spark, sf_dir, "documents"))
+
+
 LEAK_SQL = r"""
 WITH texts AS (
   SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
