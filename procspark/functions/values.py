@@ -37,13 +37,18 @@ def safe_timestamp(c: Column, ingest_ts: Column) -> Column:
 
 
 def usd_amount(value: Column, currency: Column) -> Column:
-    """Cents are rounded half-even; a currency without a rate passes through."""
+    """Cents are rounded half-even; the amount of a currency without a rate passes through as it is."""
     code = F.upper(F.coalesce(currency, F.lit("USD")))
-    out = value
+    out = value.cast("decimal(38,6)")
     for name, rate in USD_RATES.items():
         converted = F.bround(value * F.lit(rate).cast("decimal(6,3)"), 2)
-        out = F.when(code == name, converted).otherwise(out)
-    return out.cast("decimal(18,2)")
+        out = F.when(code == name, converted.cast("decimal(38,6)")).otherwise(out)
+    return out
+
+
+def amount_text(value: Column) -> Column:
+    """A decimal as text with two places, or as many more as it needs."""
+    return F.regexp_replace(value.cast("decimal(38,6)").cast("string"), r"(\.\d\d\d*?)0+$", "$1")
 
 
 def usd_currency(currency: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,20 +98,49 @@ def _tx_struct() -> Column:
     return F.struct(*TX_FIELDS)
 
 
-def triage_payload(df: DataFrame) -> DataFrame:
-    """The compact nine fields and the signals as JSON text."""
-    fields = F.struct(*TX_FIELDS, F.struct("ml_score", "signal_hits", "keywords").alias("risk_signals"))
-    return df.withColumn("payload", F.substring(F.to_json(fields, {"ignoreNullFields": "false"}), 1, TRIAGE_CHARS))
+def _json(fields: Column) -> Column:
+    return F.to_json(fields, {"ignoreNullFields": "false"})
+
+
+def _shorter(text: Column, by: Column) -> Column:
+    return F.substring(text, F.lit(1), F.greatest(F.length(text) - by, F.lit(0)))
+
+
+def _within(df: DataFrame, limit: int, build: Callable[[Column], Column]) -> DataFrame:
+    """``payload`` of at most ``limit`` characters: values are shortened before they become JSON, which stays whole.
+
+    ``build(n)`` gives the text with its long values shortened by ``n`` characters each.
+    """
+    full = df.withColumn("payload", build(F.lit(0)))
+    over = F.greatest(F.length("payload") - limit, F.lit(0))
+    return full.withColumn("payload", F.when(over == 0, F.col("payload")).otherwise(build(over)))
 
 
-def audit_payload(df: DataFrame) -> DataFrame:
-    """Transaction and its first clauses (column ``hits``: contract_id, score, text) as JSON text."""
-    clauses = F.transform(F.slice("hits", 1, MAX_CLAUSES), lambda h: F.struct(
+def triage_payload(df: DataFrame, chars: int = TRIAGE_CHARS) -> DataFrame:
+    """The compact nine fields and the signals as JSON text; summary, description give way to the limit."""
+
+    def build(n: Column) -> Column:
+        long = {"shap_summary", "description"}
+        tx = [_shorter(F.col(c).cast("string"), n).alias(c) if c in long else F.col(c) for c in TX_FIELDS]
+        return _json(F.struct(*tx, F.struct("ml_score", "signal_hits", "keywords").alias("risk_signals")))
+
+    return _within(df, chars, build)
+
+
+def audit_payload(df: DataFrame, chars: int = AUDIT_CHARS, clause_chars: int = CLAUSE_CHARS, max_clauses: int = MAX_CLAUSES) -> DataFrame:
+    """Transaction and its first clauses (column ``hits``: contract_id, score, text) as JSON text; clause texts, summary and
+    description give way to the limit."""
+    clauses = F.transform(F.slice("hits", 1, max_clauses), lambda h: F.struct(
         h["contract_id"].alias("contract_id"), h["score"].alias("score"),
-        F.substring(h["text"], 1, CLAUSE_CHARS).alias("text")))
-    out = df.withColumn("clauses", clauses)
-    text = F.to_json(F.struct(_tx_struct().alias("transaction"), "clauses"), {"ignoreNullFields": "false"})
-    return out.withColumn("payload", F.substring(text, 1, AUDIT_CHARS))
+        F.substring(h["text"], 1, clause_chars).alias("text")))
+
+    def build(n: Column) -> Column:
+        long = {"shap_summary", "description"}
+        tx = F.struct(*[_shorter(F.col(c).cast("string"), n).alias(c) if c in long else F.col(c) for c in TX_FIELDS])
+        short = F.transform("clauses", lambda h: F.struct(h["contract_id"].alias("contract_id"), h["score"].alias("score"), _shorter(h["text"], n).alias("text")))
+        return _json(F.struct(tx.alias("transaction"), short.alias("clauses")))
+
+    return _within(df.withColumn("clauses", clauses), chars, build)
 
 
 REPORT = "struct<verdict: string, violated_clause: string, confidence: double, rationale: string, cited_clause_text: string>"

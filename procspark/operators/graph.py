@@ -11,11 +11,9 @@ from procspark.operators.components import connected_components
 from procspark.operators.pairs import pair_tiles
 from procspark.session import cut
 
-AGENCY_CHARS = 80
-
 
 def agency_name() -> Column:
-    return F.substring(F.coalesce(F.nullif(F.col("agency"), F.lit("")), F.lit("UNKNOWN")), 1, AGENCY_CHARS)
+    return F.coalesce(F.nullif(F.col("agency"), F.lit("")), F.lit("UNKNOWN"))
 
 
 def bipartite_edges(df: DataFrame) -> DataFrame:

@@ -53,8 +53,10 @@ def progress_metrics(df: DataFrame, cases: DataFrame) -> DataFrame:
     })
 
 
-def source_metrics(df: DataFrame, cases: DataFrame, limit: int = 20, compat: bool = False) -> DataFrame:
-    """Totals by source system, agency family and category family, the least covered first."""
+def source_metrics(df: DataFrame, cases: DataFrame, limit: int | None = None, compat: bool = False) -> DataFrame:
+    """Totals by source system, agency family and category family, the least covered first; all rows, or the first ``limit``."""
+    if limit is not None and limit < 1:
+        raise ValueError(f"limit must be positive, not {limit}")
     c = cases.select("tx_id", F.lit(1).alias("has_case"), "risk_level", "escalated")
     rows = df.join(c, "tx_id", "left").groupBy(
         source_system(F.col("source")).alias("source_system"),
@@ -67,9 +69,11 @@ def source_metrics(df: DataFrame, cases: DataFrame, limit: int = 20, compat: boo
         F.round(F.coalesce(F.avg("ml_score"), F.lit(0.0)), 4).alias("avg_ml_score"),
     )
     dims = ["source_system", "agency_family", "category_family"]
-    return rows.withColumn(
+    rows = rows.withColumn(
         "score_coverage_pct", percent(F.col("scored_transactions"), F.col("total_transactions"), 2)
-    ).orderBy("score_coverage_pct", "total_transactions", *dims).limit(max(1, min(limit, 200)))
+    )
+    order = ["score_coverage_pct", "total_transactions", *dims]
+    return rows if limit is None else rows.orderBy(*order).limit(limit)
 
 
 def recent_cases(cases: DataFrame, n: int = 8) -> DataFrame:

@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from procspark.session import shuffle_width
+
 SCORE_MIN = 0.20
-QUERY_BLOCK = 1_000
+QUERY_BLOCK, PART_ROWS = 1_000, 50_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,46 +31,51 @@ def _ranked(df: DataFrame, by: list[str], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, threshold: float = SCORE_MIN) -> DataFrame:
-    """``query_id, chunk_id, score, rank`` over all vectors (``chunk_id, vec``).
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, threshold: float = SCORE_MIN, part_rows: int = PART_ROWS) -> DataFrame:
+    """``query_id, chunk_id, score, rank`` over all vectors (``chunk_id, vec``), for any number of queries.
 
-    Queries go to the tasks in blocks of a fixed number, one pass over the vectors per block; a task multiplies
-    each batch with the block and hands on only its best k rows per query.
+    The vectors are dealt once into parts of some ten thousand rows. Queries are packed into blocks, and every block is sent past
+    every part: a task holds one part as a matrix and one block at a time, and hands on its best k rows per query.
     """
-    asked = [(r["query_id"], r["vec"]) for r in queries.select("query_id", "vec").limit(QUERY_BLOCK + 1).collect()]
-    if len(asked) > QUERY_BLOCK:
-        return _topk_blocks(vectors, queries, k, threshold)
-    return _ranked(_scored(vectors, asked, queries, k, threshold), ["query_id"], k).withColumn("score", F.round("score", 4))
-
-
-def _scored(vectors: DataFrame, asked: list[tuple], queries: DataFrame, k: int, threshold: float) -> DataFrame:
-    ids = [a for a, _ in asked]
-    matrix = np.array([v for _, v in asked], dtype=float).T
+    parts = max(shuffle_width(vectors.sparkSession), -(-vectors.count() // part_rows))
+    dealt = vectors.select(F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).alias("part"), F.lit(0).alias("block"), "chunk_id", F.lit(None).alias("query_id"), "vec")
+    blocks = queries.select("query_id", F.col("vec").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(-(-queries.count() // QUERY_BLOCK) or 1)).alias("no"))
+    packed = blocks.groupBy("no").agg(F.collect_list(F.struct("query_id", "q")).alias("rows"))  # about QUERY_BLOCK rows each
+    sent = packed.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"), (F.col("no") + 1).cast("int").alias("block"), "rows")
+    q, c = queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()
+    kind = f"array<struct<id: {c}, vec: array<double>>>"
+    own = dealt.select("part", "block", F.array(F.struct(F.col("chunk_id").alias("id"), F.col("vec").cast("array<double>").alias("vec"))).cast(kind).alias("mine"),
+                       F.lit(None).cast(f"array<struct<id: {q}, vec: array<double>>>").alias("asked"))
+    ask = sent.select("part", "block", F.lit(None).cast(kind).alias("mine"),
+                      F.transform("rows", lambda r: F.struct(r["query_id"].alias("id"), r["q"].cast("array<double>").alias("vec"))).alias("asked"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, part, matrix, chunk = [], None, None, None
         for pdf in batches:
-            if not len(pdf) or not ids:
-                continue
-            scores = np.stack(pdf["vec"].to_numpy()).astype(float) @ matrix
-            chunk = pdf["chunk_id"].to_numpy()
-            for j, query in enumerate(ids):
-                col = scores[:, j]
-                hits = np.flatnonzero(col >= threshold)
-                best = hits[np.lexsort((chunk[hits], -col[hits]))[:k]]
-                if len(best):
-                    yield pd.DataFrame({"query_id": query, "chunk_id": chunk[best], "score": col[best]})
-
-    q, c = queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()
-    return vectors.select("chunk_id", "vec").mapInPandas(run, f"query_id {q}, chunk_id {c}, score double")
-
-
-def _topk_blocks(vectors: DataFrame, queries: DataFrame, k: int, threshold: float) -> DataFrame:
-    """More queries than one block: vectors and query blocks meet by block number, spread over the tasks."""
-    n = queries.count() // QUERY_BLOCK + 1
-    blocks = queries.select("query_id", F.col("vec").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("block"))
-    copies = vectors.select("chunk_id", "vec", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("block"))
-    pairs = copies.join(blocks, "block").select("query_id", "chunk_id", dot(F.col("vec"), F.col("q")).alias("score"))
-    return _ranked(pairs.filter(F.col("score") >= threshold), ["query_id"], k).withColumn("score", F.round("score", 4))
+            for p, mine, asked in zip(pdf["part"], pdf["mine"], pdf["asked"]):
+                if p != part:
+                    held, part, matrix = [], p, None
+                if mine is not None:
+                    held.append((mine[0]["id"], mine[0]["vec"]))
+                    continue
+                if not held:
+                    continue
+                if matrix is None:
+                    chunk, matrix = np.array([h[0] for h in held]), np.stack([h[1] for h in held])
+                ids, best, scores = [], [], []
+                for a in asked:
+                    score = matrix @ np.asarray(a["vec"])
+                    hits = np.flatnonzero(score >= threshold)
+                    hits = hits[np.lexsort((chunk[hits], -score[hits]))[:k]]
+                    ids += [a["id"]] * len(hits)
+                    best.append(chunk[hits])
+                    scores.append(score[hits])
+                if ids:
+                    yield pd.DataFrame({"query_id": ids, "chunk_id": np.concatenate(best), "score": np.concatenate(scores)})
+
+    met = own.unionByName(ask).repartition(parts, "part").sortWithinPartitions("part", "block")
+    found = met.mapInPandas(run, f"query_id {q}, chunk_id {c}, score double")
+    return _ranked(found, ["query_id"], k).withColumn("score", F.round("score", 4))
 
 
 def vector_topk_filtered(vectors: DataFrame, queries: DataFrame, k: int = 3, threshold: float = SCORE_MIN) -> DataFrame:

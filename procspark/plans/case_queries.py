@@ -12,7 +12,9 @@ from procspark.operators import vendor_risk as vr
 from procspark.plans.audit_queries import KEYS, RISK_SQL, RULE_SQL, SPEND_TEMPORAL
 from procspark.plans.graph_queries import GRAPH_RISK_CTES
 from procspark.plans.ingest_queries import DIMS_SQL, agency_text, category_text
+from procspark.operators.scan import running_sums
 from procspark.registry import query
+from procspark.session import cut
 from procspark.sources.tables import CASES_SQL, PLANS_SQL, SPEND_SQL, cases, plans, spend
 
 WITH_CASES = "WITH " + CASES_SQL
@@ -224,19 +226,23 @@ def _(spark, sf):
                       (F.length("payload") <= C.TRIAGE_CHARS).alias("fits"))
 
 
-@query("audit_payload", WITH_CASES + """
-SELECT case_id, 2 AS clauses, 2 * least(length(text), 850) AS clause_chars, TRUE AS fits
-FROM cases JOIN documents ON doc_id = l_orderkey % 1000 WHERE escalated""")
+@query("audit_payload", WITH_CASES + """, placed AS (SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM documents)
+SELECT case_id, 2 AS clauses, 2 * least(length(text), 850) AS clause_chars, TRUE AS fits, TRUE AS valid
+FROM cases LEFT JOIN placed ON place = l_orderkey % (SELECT count(*) FROM documents) WHERE escalated""")
 def _(spark, sf):
     """Three clauses of one document per escalated case; the last one must not be sent."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    # the place of every document in the order of ids, from counts per slice
+    places = cut(running_sums(texts.select("doc_id", F.lit(1).alias("one")), [], ["doc_id"], ["one"]))
+    n = max(places.count(), 1)
+    docs = texts.join(places.select("doc_id", F.col("one_before").alias("place")), "doc_id")
     rows = cases(spark, sf, agency=True, category=True).filter("escalated").withColumn("summary", summary_text())
     hit = lambda score: F.struct(F.col("doc_id").cast("string").alias("contract_id"), F.lit(score).alias("score"), F.col("text").alias("text"))
-    joined = payload_fields(rows).join(docs, F.col("l_orderkey") % 1000 == F.col("doc_id"))
+    joined = payload_fields(rows).join(docs, F.col("l_orderkey") % n == F.col("place"), "left")
     out = C.audit_payload(joined.withColumn("hits", F.array(hit(0.9), hit(0.5), hit(0.3))))
     return out.select("case_id", F.size("clauses").alias("clauses"),
                       F.aggregate("clauses", F.lit(0).cast("bigint"), lambda a, c: a + F.length(c["text"])).alias("clause_chars"),
-                      (F.length("payload") <= C.AUDIT_CHARS).alias("fits"))
+                      (F.length("payload") <= C.AUDIT_CHARS).alias("fits"), F.get_json_object("payload", "$.transaction").isNotNull().alias("valid"))
 
 
 def reports(df: DataFrame) -> DataFrame:
@@ -393,10 +399,10 @@ def _(spark, sf):
 SELECT source_system, agency_family, category_family, count(*) AS total_transactions, count(*) FILTER (WHERE is_scored) AS scored_transactions,
   count(*) FILTER (WHERE ml_score >= 0.4) AS audit_cases, count(*) FILTER (WHERE ml_score >= 0.8 OR (ml_score >= 0.6 AND l_linenumber % 2 = 0)) AS escalated_cases,
   count(*) FILTER (WHERE ml_score >= 0.8) AS high_risk_cases, round(avg(ml_score), 4) AS avg_ml_score, round(count(*) FILTER (WHERE is_scored) / count(*) * 100, 2) AS score_coverage_pct
-FROM dims GROUP BY ALL ORDER BY score_coverage_pct, total_transactions, source_system, agency_family, category_family LIMIT 200""")
+FROM dims GROUP BY ALL""")
 def _(spark, sf):
     rows = spend(spark, sf, agency=True, category=True).withColumns({"agency": agency_text(), "category": category_text()})
-    return kpi.source_metrics(rows, cases(spark, sf), limit=200)
+    return kpi.source_metrics(rows, cases(spark, sf))
 
 
 @query("realtime_snapshot", WITH_BOTH + ", c AS (" + COVERAGE_SQL.format(2) + "), r AS (" + ROI_SQL + ") SELECT * FROM c, r")

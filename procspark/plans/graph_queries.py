@@ -10,7 +10,7 @@ from procspark.registry import query
 from procspark.sources.tables import SPEND_SQL, spend, table
 
 GRAPH_RISK_CTES = """
-edges AS (SELECT vendor_id, substr(coalesce(nullif(agency, ''), 'UNKNOWN'), 1, 80) AS agency, count(*) AS weight FROM spend GROUP BY 1, 2),
+edges AS (SELECT vendor_id, coalesce(nullif(agency, ''), 'UNKNOWN') AS agency, count(*) AS weight FROM spend GROUP BY 1, 2),
 deg AS (SELECT vendor_id, count(*) AS d, sum(weight) / count(*) AS conc FROM edges GROUP BY 1),
 nn AS (SELECT count(DISTINCT vendor_id) + count(DISTINCT agency) AS n FROM edges),
 und AS (SELECT 'v:' || vendor_id AS x, 'a:' || agency AS y FROM edges UNION SELECT 'a:' || agency, 'v:' || vendor_id FROM edges),

@@ -50,6 +50,19 @@ def _(spark, sf):
     return vectors.vector_topk(chunk_vectors(spark, sf), centroids(spark, sf)).select("query_id", "chunk_id", "score")
 
 
+@query("vector_topk_all", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+q AS (SELECT vec_id * 3 + m AS query_id, CASE m WHEN 1 THEN list_transform(vec, lambda x: -x) ELSE vec END AS vec, m FROM v, (VALUES (0), (1), (2)) t(m)),
+p AS (SELECT query_id, v.vec_id AS chunk_id, list_inner_product(v.vec, q.vec) AS s FROM v, q)
+SELECT query_id, chunk_id, round(s, 4) AS score FROM p WHERE s >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) <= 3""")
+def _(spark, sf):
+    """Every vector three times as a query, once turned round: more queries than one block holds."""
+    v = chunk_vectors(spark, sf)
+    m = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("m")
+    turned = F.when(F.col("m") == 1, F.transform("vec", lambda x: -x)).otherwise(F.col("vec"))
+    queries = v.select("chunk_id", "vec", m).select((F.col("chunk_id") * 3 + F.col("m")).alias("query_id"), turned.alias("vec"))
+    return vectors.vector_topk(v, queries, k=3, threshold=0.3).select("query_id", "chunk_id", "score")
+
+
 @query("vector_topk_filtered", VECTORS_SQL + """ SELECT query_id, v.contract_id, v.chunk_id, round(list_inner_product(v.vec, q.vec), 4) AS score FROM v JOIN q USING (contract_id)
 WHERE list_inner_product(v.vec, q.vec) >= 0.20 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY list_inner_product(v.vec, q.vec) DESC, v.chunk_id) <= 3""")
 def _(spark, sf):
@@ -86,12 +99,12 @@ def _(spark, sf):
 @query("clause_retrieval_per_tx", """WITH v AS (SELECT vec_id AS chunk_id, label AS contract_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
 own AS (SELECT s_suppkey AS vendor_id, s_suppkey % 10 AS contract_id FROM supplier UNION ALL SELECT s_suppkey, (s_suppkey + 1) % 10 FROM supplier),
 act AS (SELECT * FROM own WHERE contract_id <> 3 AND NOT (contract_id = 5 AND vendor_id % 2 = 0)),
-qs AS (SELECT DISTINCT l_partkey % 500 AS query_id, l_suppkey AS vendor_id FROM lineitem),
+qs AS (SELECT DISTINCT l_partkey % (SELECT count(*) FROM embeddings) AS query_id, l_suppkey AS vendor_id FROM lineitem),
 p AS (SELECT query_id, a.vendor_id, a.contract_id, v.chunk_id, list_inner_product(v.vec, q.vec) AS s FROM qs JOIN act a USING (vendor_id) JOIN v USING (contract_id) JOIN v q ON q.chunk_id = query_id),
 two AS (SELECT * FROM p WHERE s >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id, vendor_id, contract_id ORDER BY s DESC, chunk_id) <= 2),
 three AS (SELECT *, row_number() OVER (PARTITION BY query_id, vendor_id ORDER BY s DESC, chunk_id) AS rank FROM two QUALIFY rank <= 3)
 SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS tx_id, contract_id, chunk_id, round(s, 4) AS score, rank
-FROM lineitem JOIN three ON query_id = l_partkey % 500 AND vendor_id = l_suppkey""")
+FROM lineitem JOIN three ON query_id = l_partkey % (SELECT count(*) FROM embeddings) AND vendor_id = l_suppkey""")
 def _(spark, sf):
     supplier = table(spark, sf, "supplier")
     k = F.col("s_suppkey")
@@ -99,7 +112,7 @@ def _(spark, sf):
     contracts = own.select("vendor_id", F.col("contract_id").cast("int").alias("contract_id"),
                            F.when(F.col("contract_id") == 3, "EXPIRED").otherwise("ACTIVE").alias("status"),
                            (~((F.col("contract_id") == 5) & (F.col("vendor_id") % 2 == 0))).alias("is_indexed"))
-    tx = spend(spark, sf).select("tx_id", "vendor_id", (F.col("l_partkey") % 500).alias("query_id"))
+    tx = spend(spark, sf).select("tx_id", "vendor_id", (F.col("l_partkey") % chunk_vectors(spark, sf).count()).alias("query_id"))
     queries = chunk_vectors(spark, sf).select(F.col("chunk_id").alias("query_id"), "vec")
     return vectors.clause_retrieval(tx, queries, contracts, chunk_vectors(spark, sf))
 
@@ -133,12 +146,12 @@ def _(spark, sf):
     return vectors.contract_soft_delete(df, df.filter(F.col("n_chars") > 2000)).select("contract_id", "status", "is_indexed")
 
 
-@query("contract_index_state", CONTRACTS_SQL + """, n AS (SELECT vec_id % 400 AS contract_id, CAST(count(*) AS INTEGER) AS n FROM embeddings GROUP BY 1)
+@query("contract_index_state", CONTRACTS_SQL + """, n AS (SELECT vec_id % (SELECT count(*) FROM documents) AS contract_id, CAST(count(*) AS INTEGER) AS n FROM embeddings GROUP BY 1)
 SELECT c.contract_id, CASE WHEN n IS NOT NULL AND status = 'DRAFT' THEN 'ACTIVE' ELSE status END AS status, n IS NOT NULL OR is_indexed AS is_indexed,
   coalesce(n, 0) AS chunk_count, CASE WHEN n IS NOT NULL THEN 'unit-64' END AS embedding_model FROM contracts c LEFT JOIN n USING (contract_id)""")
 def _(spark, sf):
     df = contracts_of(spark, sf).select("contract_id", "status", "is_indexed", F.lit(0).alias("chunk_count"), F.lit(None).cast("string").alias("embedding_model"))
-    chunks = table(spark, sf, "embeddings").select((F.col("vec_id") % 400).alias("contract_id"))
+    chunks = table(spark, sf, "embeddings").select((F.col("vec_id") % df.count()).alias("contract_id"))
     return vectors.contract_index_state(df, chunks, "unit-64")
 
 

@@ -57,14 +57,14 @@ def test_ocds_and_tender_to_dollars(spark):
     assert (float(o.amount), o.currency, o.vendor) == (10, "GBP", "Foo Ltd")
     assert (t.currency, t.vendor, t.buyer) == ("INR", "UNKNOWN_VENDOR", "D")
     clean = {r.source: r for r in quality.clean_records(rows, ["transaction_id"]).collect()}
-    assert (str(clean["OCDS"].amount), clean["OCDS"].currency, clean["OCDS"].vendor) == ("12.80", "USD", "foo")
-    assert (str(clean["CPPP"].amount), clean["CPPP"].vendor) == ("1.20", "unknown vendor")
+    assert (f"{clean['OCDS'].amount:.2f}", clean["OCDS"].currency, clean["OCDS"].vendor) == ("12.80", "USD", "foo")
+    assert (f"{clean['CPPP'].amount:.2f}", clean["CPPP"].vendor) == ("1.20", "unknown vendor")
 
 
 def test_half_even_cents(spark):
-    df = spark.createDataFrame([("10.5", "INR"), ("0.125", "USD"), ("7", "JPY")], "a string, c string")
-    got = df.select(values.usd_amount(F.col("a").cast("decimal(38,6)"), F.col("c"))).collect()
-    assert [str(r[0]) for r in got] == ["0.13", "0.12", "7.00"]
+    df = spark.createDataFrame([("10.5", "INR"), ("0.125", "USD"), ("7", "JPY"), ("10.005", "JPY"), ("3.125", "KWD"), ("12345678901234567890.5", "XXX")], "a string, c string")
+    usd = values.usd_amount(F.col("a").cast("decimal(38,6)"), F.col("c"))
+    assert [r[0] for r in df.select(values.amount_text(usd)).collect()] == ["0.13", "0.12", "7.00", "10.005", "3.125", "12345678901234567890.50"]
 
 
 def test_supplier_fallbacks(spark):
