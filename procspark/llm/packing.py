@@ -12,6 +12,7 @@ ranks come from counts per slice, not from a window over all pieces of a length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,8 +27,7 @@ from pyspark.sql import functions as F
 from procspark.llm.common import only, raw
 from procspark.session import cut
 
-_KNOWN_WORDS = 300_000  # words whose ids a worker remembers
-_SEPARATOR = "<|startoftext|>"
+_KNOWN_WORDS = 400_000  # words whose ids a worker remembers, beside those of the text at hand
 
 
 @dataclass(frozen=True)
@@ -49,46 +49,67 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_cache: dict[str, dict[bytes, bytes]] = {}
+# letters that this tokenizer keeps together and lower-cases one by one, and marks that it keeps together
+_LETTERS = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_MARKS = b".,;:!?"
 
 
-class _Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit numbers.
+class _Encoder(dict):
+    """Ids of words as little-endian unsigned 32-bit numbers; a worker keeps one and what it has learnt.
 
-    This tokenizer drops white space and never joins across it, so a text's ids are its words' ids end to end.
+    This tokenizer drops white space and never joins across it, so a text's ids are its words' ids end to end. Most words are
+    letters and closing marks: there the letters, in lower case, are one piece for the vocabulary's merges and the marks another.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         self.tok = _tokenizer(path)
-        self.mark = self.tok.token_to_id(_SEPARATOR)
-        self.known = _cache.setdefault(path, {})
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > _KNOWN_WORDS:
-            self.known.clear()
-        plain = [w for w in words if b"<|" not in w]
-        for i in range(0, len(plain), 512):
-            part = plain[i:i + 512]
-            ids = np.array(self.tok.encode(_SEPARATOR.join(w.decode() for w in part), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
-            at = 0
-            for w, end in zip(part, ends.tolist(), strict=True):
-                self.known[w] = ids[at:end].tobytes()
-                at = end + 1
-        for w in words:
-            if b"<|" in w:
-                self.known[w] = np.array(self.tok.encode(w.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
-        for text in texts:
-            words = text.split()
-            fresh = [w for w in dict.fromkeys(words) if w not in self.known]
-            if fresh:
-                before = len(self.known)
-                self.learn(fresh)
-                if len(self.known) < before + len(fresh):  # the memory was emptied: look the whole text up again
-                    self.learn([w for w in dict.fromkeys(words) if w not in self.known])
-            yield b"".join(map(self.known.__getitem__, words))
+        self.merge = self.tok.model.tokenize
+        self.stems: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {b"": b""}
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        shown = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.shown = {c: shown(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}  # lower-case letters beyond ASCII
+        self.packed = [i.to_bytes(4, "little") for i in range(max(self.tok.get_vocab().values()) + 1)]
+
+    def _encode(self, text: str) -> bytes:
+        return b"".join([self.packed[i] for i in self.tok.encode(text, add_special_tokens=False).ids])
+
+    def _stem(self, stem: bytes, text: str) -> bytes:
+        ids = self.stems[stem] = b"".join([self.packed[t.id] for t in self.merge(text)])
+        return ids
+
+    def __missing__(self, w: bytes) -> bytes:
+        letters = w.rstrip(_MARKS)
+        tail = w[len(letters):]
+        if tail and tail not in self.tails:
+            self.tails[tail] = self._encode(tail.decode())
+        if letters.isalpha():  # ASCII letters only
+            stem = letters.lower()
+            ids = (self.stems.get(stem) or self._stem(stem, stem.decode())) + self.tails[tail]
+        else:
+            text = letters.decode()
+            if _LETTERS.fullmatch(text):
+                text = text.lower()
+                stem = text.encode()
+                ids = (self.stems.get(stem) or self._stem(stem, text.translate(self.shown))) + self.tails[tail]
+            else:
+                ids = self._encode(w.decode())
+        self[w] = ids
+        return ids
+
+    def ids(self, text: bytes) -> bytes:
+        for learnt in (self, self.stems, self.tails):
+            if len(learnt) > _KNOWN_WORDS:
+                learnt.clear()
+                self.tails[b""] = b""
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+@cache
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
 
 
 def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokens: int = 4096, end: int = 1) -> DataFrame:
@@ -101,13 +122,13 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     last = np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(path)
+        encoder = _encoder(path)
         seen = np.zeros(tokens + 1, np.int64)
         part = TaskContext.get().partitionId()
         for batch in batches:
             row, piece, start, length, crc, place = [], [], [], [], [], []
-            for i, ids in enumerate(encoder.ids(raw(batch, text_col))):
-                view = memoryview(ids + last)
+            for i, text in enumerate(raw(batch, text_col)):
+                view = memoryview(encoder.ids(text) + last)
                 for k, at in enumerate(range(0, len(view), 4 * tokens)):
                     bit = view[at:at + 4 * tokens]
                     n = len(bit) // 4
