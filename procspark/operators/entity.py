@@ -115,12 +115,13 @@ def pairwise_matches(df: DataFrame, name: str, order: str, threshold: float = TH
     return rows.select("a", "b", F.round("score", 3).alias("score"), "a_variants", "b_variants").unionByName(own)
 
 
-def cluster_vendors(df: DataFrame, name: str, order: str, threshold: float = THRESHOLD, max_rounds: int = 200) -> DataFrame:
+def cluster_vendors(df: DataFrame, name: str, order: str, threshold: float = THRESHOLD) -> DataFrame:
     """``clean, leader``: greedy clustering in order of first occurrence, in parallel rounds.
 
     A name joins the first earlier leader it matches and otherwise leads. That is the first maximal independent
     set in the given order: in each round, names whose earlier matches are all settled are settled too. Random
-    orders need a logarithmic number of rounds, and no cluster is ever gathered in one task.
+    orders need a logarithmic number of rounds, and no cluster is ever gathered in one task. Every round settles at least the first
+    open name, so the rounds end for any input.
     """
     names = cut(clean_names(df, name, order))
     # direction: the later name is compared to the leader
@@ -129,17 +130,13 @@ def cluster_vendors(df: DataFrame, name: str, order: str, threshold: float = THR
     early = edges.select(F.col("a").alias("clean")).distinct()
     state = cut(early.unionByName(later).distinct().join(later.withColumn("open", F.lit(True)), "clean", "left").select(
         "clean", F.when(F.col("open"), "open").otherwise("leader").alias("status")))
-    for _ in range(max_rounds):
-        if state.filter(F.col("status") == "open").isEmpty():
-            break
+    while not state.filter(F.col("status") == "open").isEmpty():
         todo = edges.join(state.filter(F.col("status") == "open").select(F.col("clean").alias("b")), "b", "left_semi")
         seen = todo.join(state.select(F.col("clean").alias("a"), F.col("status").alias("s")), "a").groupBy(
             F.col("b").alias("clean")).agg(F.max((F.col("s") == "leader").cast("int")).alias("led"),
                                            F.max((F.col("s") == "open").cast("int")).alias("waits"))
         new = F.when(F.col("led") == 1, "member").when(F.col("waits") == 0, "leader")
         state = cut(state.join(seen, "clean", "left").select("clean", F.coalesce(new, F.col("status")).alias("status")))
-    else:
-        raise RuntimeError(f"clusters did not settle in {max_rounds} rounds")
     leaders = state.filter(F.col("status") == "leader").select(F.col("clean").alias("a"))
     members = state.filter(F.col("status") == "member").select(F.col("clean").alias("b"))
     joined = edges.join(leaders, "a", "left_semi").join(members, "b", "left_semi").groupBy(F.col("b").alias("clean")).agg(

@@ -14,6 +14,7 @@ Two physical forms give the same result:
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from procspark.functions.money import is_round, near_limit
 from procspark.operators.scan import carried, in_slice, running_sums, slices
-from procspark.session import lookup
+from procspark.session import cut, lookup
 
 # The feature names and their order, the small-invoice limit and the look-backs.
 FEATURES = [
@@ -74,7 +75,10 @@ def _ratio(top: Column, bottom: Column) -> Column:
 
 
 def _with_clock(df: DataFrame) -> DataFrame:
-    return df.withColumn("us", micros("ts")).withColumn("small", (F.col("cents") < SMALL_CENTS).cast("long"))
+    """Time and size marks. A row without vendor or time stands alone (``solo``): it has no history and is in nobody's, and such
+    rows are as many keys as rows, whatever their number."""
+    alone = F.when(F.col("vendor_id").isNull() | F.col("ts").isNull(), F.col("tx_id").cast("string"))
+    return df.withColumns({"us": micros("ts"), "small": (F.col("cents") < SMALL_CENTS).cast("long"), "solo": alone})
 
 
 # ---------------------------------------------------------------------------------------------
@@ -88,10 +92,10 @@ def _window_counts(df: DataFrame) -> DataFrame:
     those sorted earlier are added from a running frame inside (vendor, us). All three window
     specifications are served by one sort on (vendor, us, tx_id).
     """
-    rows = df.repartition("vendor_id")
-    peers = Window.partitionBy("vendor_id", "us").orderBy("tx_id").rowsBetween(Window.unboundedPreceding, -1)
-    by_time = Window.partitionBy("vendor_id").orderBy("us")
-    line = Window.partitionBy("vendor_id").orderBy("us", "tx_id")
+    rows = df.repartition("vendor_id", "solo")
+    peers = Window.partitionBy("vendor_id", "solo", "us").orderBy("tx_id").rowsBetween(Window.unboundedPreceding, -1)
+    by_time = Window.partitionBy("vendor_id", "solo").orderBy("us")
+    line = Window.partitionBy("vendor_id", "solo").orderBy("us", "tx_id")
     prior = line.rowsBetween(Window.unboundedPreceding, -1)
 
     def back(width: int):
@@ -158,7 +162,7 @@ def _window_counts(df: DataFrame) -> DataFrame:
         n30.alias("n30"),
         (F.col("r_sum30") + F.col("p_sum")).alias("sum30"),
         F.when(n30 > 0, F.sqrt(spread / n30)).alias("std30"),
-        F.when(F.col("n_prior") >= 2, F.col("max7")).alias("max7"),
+        F.when(F.col("n_prior") >= 2, F.col("max7")).alias("max7"), "span7",
         (F.col("n_prior") - F.coalesce(F.col("last_big"), F.lit(0))).alias("small_run"),
         "gap_n", "gap_avg", "gap_std",
     )
@@ -235,7 +239,7 @@ def _sweep(df: DataFrame, n_slices: int | None = None) -> DataFrame:
                       F.collect_list("us").over(w10))
     out = out.select(
         *df.columns, "n_prior", "sum_prior", "n24", "n48", "sum48", "n7", "sum7", "small14", "n30", "sum30",
-        "sq30",
+        "sq30", "span7",
         F.greatest(F.max("us").over(w), F.col("prev_us_carry")).alias("prev_us"),
         F.greatest(F.max("span7").over(w), F.col("span7_carry")).alias("max7"),
         F.greatest(F.max("big_pos").over(w), F.col("big_pos_carry")).alias("last_big"),
@@ -259,7 +263,7 @@ def _sweep(df: DataFrame, n_slices: int | None = None) -> DataFrame:
         *df.columns, "n_prior", F.when(F.col("n_prior") > 0, F.col("sum_prior")).alias("sum_prior"), "prev_us",
         "n24", "n48", "sum48", "n7", "sum7", "small14", "n30", "sum30",
         F.when(F.col("n30") > 0, F.sqrt(exact.cast("double")) / F.col("n30") / 100.0).alias("std30"),
-        F.when(F.col("n_prior") >= 2, F.col("max7")).alias("max7"),
+        F.when(F.col("n_prior") >= 2, F.col("max7")).alias("max7"), "span7",
         (F.col("n_prior") - F.coalesce(F.col("last_big"), F.lit(0))).alias("small_run"),
         "gap_n", "gap_avg", F.when(F.col("gap_n") > 0, F.sqrt(gap_var)).alias("gap_std"),
     )
@@ -289,22 +293,32 @@ def hot_vendors(df: DataFrame, hot_rows: int) -> DataFrame:
     return df.groupBy("vendor_id").count().filter(F.col("count") > hot_rows).select("vendor_id")
 
 
-def measures(df: DataFrame, hot_rows: int = HOT_ROWS, n_slices: int | None = None) -> DataFrame:
-    """Window measures of every row, by the form that suits its vendor."""
+def measures(df: DataFrame, hot_rows: int = HOT_ROWS, n_slices: int | None = None, count_on: DataFrame | None = None) -> DataFrame:
+    """Window measures of every row, by the form that suits its vendor.
+
+    ``count_on``: rows to count the vendors on, where a barer scan with the same vendors is at hand.
+    """
     rows = _with_clock(df)
-    hot = lookup(hot_vendors(df, hot_rows))
+    hot = lookup(hot_vendors(df if count_on is None else count_on, hot_rows))
     if hot.isEmpty():
         return _window_counts(rows)
+    timed = F.col("ts").isNotNull()
     parts = [
-        _window_counts(rows.join(hot, "vendor_id", "left_anti")),
-        _sweep(rows.join(hot, "vendor_id", "left_semi"), n_slices),
+        _window_counts(rows.filter(timed).join(hot, "vendor_id", "left_anti").unionByName(rows.filter(~timed))),
+        _sweep(rows.filter(timed).join(hot, "vendor_id", "left_semi"), n_slices),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def temporal_features(df: DataFrame, hot_rows: int = HOT_ROWS, n_slices: int | None = None) -> DataFrame:
-    """F0-F19: everything that needs the vendor's own history only."""
-    m = measures(df, hot_rows, n_slices)
+def temporal_features(df: DataFrame, hot_rows: int = HOT_ROWS, n_slices: int | None = None, count_on: DataFrame | None = None,
+                      carry: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """F0-F19: everything that needs the vendor's own history only.
+
+    ``carry`` may add what is known of rows that are no longer at hand to the measures. Rows without a vendor or a time have no history.
+    """
+    m = measures(df, hot_rows, n_slices, count_on)
+    if carry is not None:
+        m = carry(m)
     amount = _money(F.col("cents"))
     avg_prior = _ratio(F.col("sum_prior"), F.col("n_prior") * F.lit(100.0))
     avg30 = _ratio(F.col("sum30"), F.col("n30") * F.lit(100.0))
@@ -370,13 +384,14 @@ def frequency_vs_agency(features: DataFrame) -> DataFrame:
     return features.join(lookup(agency_peers(features)), "agency", "left").select(*features.columns, _vs_rate())
 
 
-def feature_matrix(df: DataFrame, hot_rows: int = HOT_ROWS, n_slices: int | None = None) -> DataFrame:
+def feature_matrix(df: DataFrame, hot_rows: int = HOT_ROWS, n_slices: int | None = None, count_on: DataFrame | None = None) -> DataFrame:
     """All 22 features in their fixed order, next to the key columns."""
     if "agency" in df.columns:
-        feats = temporal_features(df, hot_rows, n_slices)
+        # read twice: for the agencies' peers and for the result
+        feats = cut(temporal_features(df, hot_rows, n_slices, count_on))
         feats = feats.join(lookup(agency_peers(feats)), "agency", "left").select(*feats.columns, _vs_mean(), _vs_rate())
     else:
-        feats = temporal_features(df, hot_rows, n_slices).withColumns(
+        feats = temporal_features(df, hot_rows, n_slices, count_on).withColumns(
             {"amount_vs_category_avg": F.lit(1.0), "invoice_freq_vs_category": F.lit(1.0)})
     return feats.select(*df.columns, "vendor_avg_amount",
                         *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in FEATURES])

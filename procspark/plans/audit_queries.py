@@ -9,6 +9,7 @@ from procspark.operators import features as feat
 from procspark.operators import rules
 from procspark.operators import vendor_risk as vr
 from procspark.registry import query
+from procspark.session import cut
 from procspark.sources.tables import BURST_SQL, SPEND_SQL, burst, spend, table
 
 # ---------------------------------------------------------------------------------------------
@@ -122,7 +123,7 @@ def _register_feature(name: str) -> None:
         if name == "amount_vs_category_avg":
             df = feat.amount_vs_agency(spend_rows(spark, sf))
         elif peer:
-            df = feat.frequency_vs_agency(feat.temporal_features(spend_rows(spark, sf)))
+            df = feat.frequency_vs_agency(cut(feat.temporal_features(spend_rows(spark, sf), count_on=spend(spark, sf))))
         else:
             # the agency is not needed here, so no dimension is joined
             df = feat.temporal_features(burst_rows(spark, sf))
@@ -137,7 +138,7 @@ for _name in feat.FEATURES:
        + ", ".join(f"round({c}, {DIGITS_OF[c]}) AS {c}" for c in feat.FEATURES) + " FROM matrix",
        doubles=feat.FEATURES)
 def _(spark, sf):
-    return rounded(feat.feature_matrix(spend_rows(spark, sf)).select("tx_id", "vendor_id", *feat.FEATURES),
+    return rounded(feat.feature_matrix(spend_rows(spark, sf), count_on=spend(spark, sf)).select("tx_id", "vendor_id", *feat.FEATURES),
                    feat.FEATURES)
 
 
@@ -259,7 +260,7 @@ def _(spark, sf):
 SELECT tx_id, vendor_id, agency, round(cents / 100.0, 2) AS amount, rule_score, triggered
 FROM ruled WHERE rule_score > 0""")
 def flagged_invoices(spark, sf):
-    df = rules.evaluate_rules(feat.temporal_features(spend_rows(spark, sf))).filter(F.col("rule_score") > 0)
+    df = rules.evaluate_rules(feat.temporal_features(spend_rows(spark, sf), count_on=spend(spark, sf))).filter(F.col("rule_score") > 0)
     return df.select("tx_id", "vendor_id", "agency", F.round(F.col("cents") / F.lit(100.0), 2).alias("amount"),
                      "rule_score", F.concat_ws(";", "triggered_rules").alias("triggered"))
 

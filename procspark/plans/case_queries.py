@@ -59,7 +59,7 @@ def model_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = spend(spark, sf, agency=True)
     ml = F.round(rules.two_stage_score(decision(), probability()), 6)
     keyed = rows.select(*KEYS, ml.alias("ml_score"))
-    return feat.temporal_features(keyed)
+    return feat.temporal_features(keyed, count_on=spend(spark, sf))
 
 
 BLEND_SQL = SPEND_TEMPORAL + RULE_SQL + "," + RISK_SQL.format(src="spend") + "," + GRAPH_RISK_CTES + """,

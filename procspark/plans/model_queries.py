@@ -10,7 +10,7 @@ from procspark.operators import features as feat
 from procspark.plans.audit_queries import SPEND_TEMPORAL, burst_rows, spend_rows
 from procspark.plans.case_queries import ATTR_SQL, attributions
 from procspark.registry import query
-from procspark.session import cut, spread
+from procspark.session import cut
 from procspark.sources.tables import spend, table
 
 # scores and labels by arithmetic on the keys: the label follows the score with noise
@@ -164,39 +164,53 @@ def _(spark, sf):
 
 
 # ---------------------------------------------------------------------------------------------
-# entity resolution: the names are the opening words of every document, in two spellings
+# entity resolution: every supplier under four spellings. The letters follow from a digest of its name, so names of different
+# suppliers have little in common and the ratios of one supplier's spellings follow from their lengths.
+
+SPELLINGS_SQL = """WITH h AS (SELECT s_suppkey AS k, translate(md5(s_name), '0123456789abcdef', 'abcdefghijklmnop') AS x FROM supplier),
+b AS (SELECT k, substr(x, 1, 8) || ' ' || substr(x, 9, 8) || ' ' || substr(x, 17, 8) AS base FROM h),
+clean AS (SELECT k, 0 AS v, base AS name, 2 AS variants FROM b UNION ALL SELECT k, 1, base || 's', 1 FROM b
+  UNION ALL SELECT k, 2, substr(base, 1, 11) || '7' || substr(base, 13), 1 FROM b),
+pairs AS (SELECT l.name AS a, r.name AS b, l.variants AS a_variants, r.variants AS b_variants,
+    CASE WHEN l.v = 0 AND r.v = 1 THEN 52.0 / 53 WHEN l.v = 0 THEN 50.0 / 52 ELSE 50.0 / 53 END AS ratio
+  FROM clean l JOIN clean r ON l.k = r.k AND l.v < r.v),
+spelled AS (SELECT k, base AS name FROM b UNION ALL SELECT k, upper(base) || ', Ltd.' FROM b
+  UNION ALL SELECT k, base || 's & Co' FROM b UNION ALL SELECT k, substr(base, 1, 11) || '7' || substr(base, 13) FROM b)"""
 
 
 def spellings(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z]+)"), F.lit(1))
-    base = F.concat_ws(" ", F.slice(words, 1, 3))
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", base.alias("base"))
-    kinds: list[Column] = [F.col("base"), F.concat(F.initcap("base"), F.lit(", Ltd.")), F.concat("base", F.lit("s & Co"))]
-    return docs.select(F.posexplode(F.array(*kinds)).alias("k", "name"), "doc_id").select(
-        "name", (F.col("doc_id") * 3 + F.col("k")).alias("place"))
+    x = F.translate(F.md5("s_name"), "0123456789abcdef", "abcdefghijklmnop")
+    base = F.concat_ws(" ", F.substring(x, 1, 8), F.substring(x, 9, 8), F.substring(x, 17, 8))
+    rows = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), base.alias("base"))
+    kinds: list[Column] = [F.col("base"), F.concat(F.upper("base"), F.lit(", Ltd.")), F.concat("base", F.lit("s & Co")),
+                           F.concat(F.substring("base", 1, 11), F.lit("7"), F.substring("base", 13, 99))]
+    return rows.select("k", F.posexplode(F.array(*kinds)).alias("v", "name")).select("name", (F.col("k") * 4 + F.col("v")).alias("place"))
 
 
-@query("name_similarity")
+@query("name_similarity", SPELLINGS_SQL + " SELECT a, b, ratio FROM pairs", doubles=["ratio"])
 def _(spark, sf):
     names = entity.clean_names(spellings(spark, sf), "name", "place")
     return entity.candidate_pairs(names).withColumn("ratio", entity.name_similarity("a", "b")).select("a", "b", "ratio")
 
 
-@query("pairwise_matches")
+@query("pairwise_matches", SPELLINGS_SQL + """ SELECT a, b, round(ratio, 3) AS score, a_variants, b_variants FROM pairs
+UNION ALL SELECT name, name, 1.0, 2, 2 FROM clean WHERE v = 0""", doubles=["score"])
 def _(spark, sf):
     return entity.pairwise_matches(spellings(spark, sf), "name", "place")
 
 
-@query("cluster_vendors")
+@query("cluster_vendors", SPELLINGS_SQL + " SELECT c.name AS clean, l.name AS leader FROM clean c JOIN clean l ON c.k = l.k AND l.v = 0")
 def _(spark, sf):
     return entity.cluster_vendors(spellings(spark, sf), "name", "place")
 
 
-@query("vendor_mapping")
+@query("vendor_mapping", SPELLINGS_SQL + " SELECT name, base AS canonical_name FROM spelled JOIN b USING (k)")
 def _(spark, sf):
     return entity.vendor_mapping(spellings(spark, sf), "name", "place").select("name", "canonical_name")
 
 
-@query("mapping_with_ids")
+@query("mapping_with_ids", SPELLINGS_SQL + """, ids AS (SELECT name, base, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('vendor:' || base)) AS h FROM spelled JOIN b USING (k))
+SELECT name, base AS canonical_name, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-'
+  || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS canonical_id FROM ids""")
 def _(spark, sf):
     return entity.vendor_mapping(spellings(spark, sf), "name", "place")
