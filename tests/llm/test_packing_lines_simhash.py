@@ -82,6 +82,9 @@ def test_odd_lines(spark):
              (202, "few sites", "a", "x"), (203, "few sites", "b", "x"), (204, "few sites", "b", "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, spread string")
     got = line_spread.strip_boilerplate(df, min_sites=10)
+    joined = line_spread.strip_boilerplate(df, min_sites=10, few=0, keep=("spread", "source"))
+    assert joined.columns == ["doc_id", "spread", "source", "text", "n_lines", "n_removed"]
+    assert sorted(map(str, joined.select(got.columns).collect())) == sorted(map(str, got.collect()))
     assert got.columns == ["doc_id", "text", "n_lines", "n_removed"]
     out = defaultdict(list)
     for r in got.collect():
