@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procspark.operators.scan import running_sums
@@ -12,15 +12,16 @@ THRESHOLDS = [0.1 + 0.05 * i for i in range(18)]
 PRECISION_FLOOR = 0.60
 
 
-def _outcomes(hits: Column, flagged: Column, positives: Column) -> list[Column]:
-    """Precision, recall, F1; with nothing flagged (1, 0, 0)."""
+def _outcomes(hits: Column, flagged: Column, positives: Column, digits: int | None = 3) -> list[Column]:
+    """Precision, recall, F1; with nothing flagged (1, 0, 0). ``digits``: places shown, all if none."""
     p = F.when(flagged == 0, 1.0).otherwise(hits / flagged)
     r = F.when((flagged == 0) | (positives == 0), 0.0).otherwise(hits / positives)
     f = F.when((flagged == 0) | (hits == 0), 0.0).otherwise(2.0 * hits / (flagged + positives))
-    return [F.round(p, 3).alias("precision"), F.round(r, 3).alias("recall"), F.round(f, 3).alias("f1")]
+    shown = lambda c: c if digits is None else F.round(c, digits)
+    return [shown(p).alias("precision"), shown(r).alias("recall"), shown(f).alias("f1")]
 
 
-def threshold_sweep(df: DataFrame, keys: list[str] = ()) -> DataFrame:
+def threshold_sweep(df: DataFrame, keys: list[str] = (), digits: int | None = 3) -> DataFrame:
     """One row per threshold. Each row falls into one of 19 buckets, so a single aggregate sees the data once;
     what remains is arithmetic on 19 counts."""
     bucket = sum((F.when(F.col("score") >= t, 1).otherwise(0) for t in THRESHOLDS), F.lit(0))
@@ -30,7 +31,7 @@ def threshold_sweep(df: DataFrame, keys: list[str] = ()) -> DataFrame:
                      for i, t in enumerate(THRESHOLDS)])
     wide = counts.groupBy(*keys).agg(F.sum("pos").alias("positives"), rows.alias("rows"))
     return wide.select(*keys, "positives", F.inline("rows")).select(
-        *keys, "threshold", *_outcomes(F.col("hits"), F.col("flagged"), F.col("positives")))
+        *keys, "threshold", *_outcomes(F.col("hits"), F.col("flagged"), F.col("positives"), digits))
 
 
 def optimal_threshold(sweep: DataFrame, keys: list[str] = ()) -> DataFrame:
@@ -81,18 +82,25 @@ def attribution_importance(df: DataFrame) -> DataFrame:
         F.avg(F.abs("a.impact")).alias("mean_abs_impact"))
 
 
-def tune_contamination(scores: DataFrame, offsets: dict[float, float]) -> DataFrame:
-    """Best threshold of every contamination candidate from raw forest scores (``sample_score``, ``label``).
+def tune_contamination(scores: DataFrame, candidates: list[float], training: DataFrame | None = None) -> DataFrame:
+    """Best threshold of every contamination candidate from raw forest scores (``sample_score``, ``label``), and which candidate wins.
 
-    The contamination only moves the offset, so one fitted forest serves all candidates.
+    The contamination only moves the offset, the exact quantile of the training rows' scores, so one fitted forest serves all
+    candidates. Thresholds compete by unrounded F1, candidates by F1 to four digits; the first of equals wins.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("contamination"), F.lit(o).alias("offset")) for c, o in offsets.items()]))
+    found = exact_quantiles(scores if training is None else training, ["sample_score"], candidates)
+    offsets = {r["prob"]: r["value"] for r in found.collect()}  # one number per candidate
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("contamination"), F.lit(offsets[c]).alias("offset")) for c in candidates]))
     rows = scores.select("label", "sample_score", pairs.alias("c")).select(
         "label", "c.contamination", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(0.5) - (F.col("sample_score") - F.col("c.offset")))).alias("score"))
-    sweep = threshold_sweep(rows, ["contamination"])
+    sweep = threshold_sweep(rows, ["contamination"], digits=None)
     rank = F.struct("f1", (-F.col("threshold")).alias("t"))
-    return sweep.groupBy("contamination").agg(F.max_by(F.struct("threshold", "precision", "recall", "f1"), rank).alias("r")).select(
-        "contamination", "r.*")
+    best = sweep.groupBy("contamination").agg(F.max_by(F.struct("threshold", "precision", "recall", "f1"), rank).alias("r"))
+    place = F.map_from_arrays(F.array(*[F.lit(c) for c in candidates]), F.array(*[F.lit(-i) for i in range(len(candidates))]))
+    shown = best.select("contamination", "r.threshold", *[F.round(f"r.{c}", 4).alias(c) for c in ("precision", "recall", "f1")])
+    top = Window.partitionBy(F.lit(0))  # as many rows as there are candidates
+    order = F.struct("f1", F.element_at(place, F.col("contamination")).alias("p"))
+    return shown.withColumn("is_best", F.max(order).over(top)["p"] == F.element_at(place, F.col("contamination")))
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], n_slices: int | None = None) -> DataFrame:

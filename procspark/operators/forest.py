@@ -205,19 +205,22 @@ def attributions(df: DataFrame, forest: Forest, raw: list[str] | None = None, ke
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         leaves = [leaf for tree in model.value for leaf in tree]
         base = -sum(length * float(np.prod([b[2] for b in bounds])) for _, bounds, length in leaves) / n
+        tables: list[dict[int, np.ndarray]] = [{} for _ in leaves]  # per leaf and hit pattern, kept for the task's later batches
         for pdf in batches:
             x, shown = np.stack(pdf["x"].to_numpy()), np.stack(pdf["shown"].to_numpy())
             phi = np.zeros((len(x), len(names)))
-            for feats, bounds, length in leaves:
+            for known, (feats, bounds, length) in zip(tables, leaves):
                 if not feats:
                     continue
                 code = np.zeros(len(x), dtype=int)
                 for bit, (f, (low, high, _)) in enumerate(zip(feats, bounds)):
                     code |= ((x[:, f] > low) & (x[:, f] <= high)).astype(int) << bit
                 kinds, inverse = np.unique(code, return_inverse=True)
-                share = np.array([b[2] for b in bounds])
-                table = _shapley((kinds[:, None] >> np.arange(len(feats))) & 1, share)
-                phi[:, feats] -= length / n * table[inverse]
+                new = [k for k in kinds.tolist() if k not in known]
+                if new:
+                    share = np.array([b[2] for b in bounds])
+                    known.update(zip(new, _shapley((np.array(new)[:, None] >> np.arange(len(feats))) & 1, share)))
+                phi[:, feats] -= length / n * np.array([known[k] for k in kinds.tolist()])[inverse]
             order = np.argsort(-np.abs(phi), axis=1, kind="stable")
             rows = [[{"feature": names[f], "raw_value": float(shown[i, f]), "impact": float(phi[i, f])} for f in order[i]]
                     for i in range(len(x))]

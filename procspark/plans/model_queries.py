@@ -69,18 +69,20 @@ def _(spark, sf):
     return evaluate.attribution_importance(rows).withColumn("mean_abs_impact", F.round("mean_abs_impact", 6))
 
 
-CANDIDATES = {0.005: -0.62, 0.01: -0.6, 0.02: -0.58, 0.03: -0.57, 0.05: -0.55, 0.08: -0.52, 0.1: -0.5}
+CANDIDATES = [0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.1]
 
 
-@query("tune_contamination", SCORED_SQL + f""", t(thr) AS (VALUES {THRESHOLD_VALUES}), o(contamination, off) AS (VALUES {", ".join(f"({c}, {v})" for c, v in CANDIDATES.items())}),
-n AS (SELECT label, contamination, greatest(0.0, least(1.0, 0.5 - (-CAST(score AS DOUBLE) - CAST(off AS DOUBLE)))) AS v FROM e, o),
+@query("tune_contamination", SCORED_SQL + f""", t(thr) AS (VALUES {THRESHOLD_VALUES}),
+d AS (SELECT -CAST(score AS DOUBLE) AS raw, label FROM e),
+o AS (SELECT unnest({CANDIDATES}) AS contamination, unnest(quantile_cont(raw, {CANDIDATES})) AS off FROM d),
+n AS (SELECT label, contamination, greatest(0.0, least(1.0, 0.5 - (raw - off))) AS v FROM d, o),
 c AS (SELECT contamination, thr, count(*) FILTER (WHERE v >= CAST(thr AS DOUBLE)) AS n, count(*) FILTER (WHERE v >= CAST(thr AS DOUBLE) AND label = 1) AS hit, sum(label) AS pos FROM n, t GROUP BY 1, 2),
-s AS (SELECT contamination, round(thr, 2) AS threshold, round(CASE WHEN n = 0 THEN 1.0 ELSE hit / n END, 3) AS "precision", round(CASE WHEN n = 0 THEN 0.0 ELSE hit / pos END, 3) AS recall,
-  round(CASE WHEN n = 0 OR hit = 0 THEN 0.0 ELSE 2.0 * hit / (n + pos) END, 3) AS f1 FROM c)
-SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY contamination ORDER BY f1 DESC, threshold) = 1""", doubles=["contamination", "threshold"])
+s AS (SELECT contamination, round(thr, 2) AS threshold, CASE WHEN n = 0 THEN 1.0 ELSE hit / n END AS p, CASE WHEN n = 0 THEN 0.0 ELSE hit / pos END AS r,
+  CASE WHEN n = 0 OR hit = 0 THEN 0.0 ELSE 2.0 * hit / (n + pos) END AS f FROM c),
+b AS (SELECT contamination, threshold, round(p, 4) AS "precision", round(r, 4) AS recall, round(f, 4) AS f1 FROM s QUALIFY row_number() OVER (PARTITION BY contamination ORDER BY f DESC, threshold) = 1)
+SELECT *, row_number() OVER (ORDER BY f1 DESC, contamination) = 1 AS is_best FROM b""", doubles=["contamination", "threshold"])
 def _(spark, sf):
-    rows = scored(spark, sf).withColumn("sample_score", -F.col("score"))
-    return evaluate.tune_contamination(rows, CANDIDATES)
+    return evaluate.tune_contamination(scored(spark, sf).withColumn("sample_score", -F.col("score")), CANDIDATES)
 
 
 SCALED = ["amount_log", "rolling_7d_sum", "invoice_count_30d", "days_since_last_invoice"]
@@ -121,7 +123,7 @@ def _(spark, sf):
 @query("feature_attribution")
 def _(spark, sf):
     rows = scaled_features(spark, sf)
-    return forest.attributions(rows, forest.fit(rows, "tx_id", feat.FEATURES, trees=50))
+    return forest.attributions(rows, forest.fit(rows, "tx_id", feat.FEATURES))
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,14 +136,13 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("second_stage_classifier")
 def _(spark, sf):
-    rows = labelled(spark, sf)
+    rows = cut(labelled(spark, sf))  # read by the sample, the forest and the scoring
     history, known = rows.filter(F.col("label").isNull()), rows.filter(F.col("label").isNotNull())
-    model = forest.fit(history, "tx_id", feat.FEATURES, trees=100)
+    model = forest.fit(history, "tx_id", feat.FEATURES)
     staged = forest.sample_score(known, model).withColumn("forest_score", -F.col("sample_score"))
     cols = ["forest_score", *feat.FEATURES]
-    data = classifier.stratified_split(staged.select("tx_id", "label", "anomaly_type", *cols), "tx_id").persist()
-    # a short boosting run keeps the check quick; training uses classifier.ROUNDS
-    fitted = classifier.fit(data.filter(~F.col("is_test")), cols, rounds=5)
+    data = cut(classifier.stratified_split(staged.select("tx_id", "label", "anomaly_type", *cols), "tx_id"))
+    fitted = classifier.fit(data.filter(~F.col("is_test")), cols)
     return classifier.probability(data.filter("is_test"), fitted, cols).select("tx_id", "label", "anomaly_type", "probability")
 
 
