@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from procspark.operators.scan import running_sums
+from procspark.session import cut
+
 
 # Patterns and their counts per set, and the synthetic-row ceiling.
 SMALL_LIMIT = 10_000.0
@@ -20,8 +23,9 @@ CELLS = 1000
 
 
 def uniform(*parts: Column | str) -> Column:
-    """A number in [0, 1) from the hash of its parts."""
-    return F.pmod(F.xxhash64(*[F.lit(p) if isinstance(p, str) else p for p in parts]), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    """A number in [0, 1) from the digest of its parts, the same in any engine."""
+    text = F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 10), 16, 10).cast("bigint") / F.lit(float(1 << 40))
 
 
 def _between(low: float, high: float, u: Column) -> Column:
@@ -41,11 +45,23 @@ def _off_weekend(ts: Column, u: Column) -> Column:
     return F.timestamp_add("DAY", F.when(u < 0.95, shift).otherwise(0), ts)
 
 
-def vendor_stats(df: DataFrame, exact: bool = False) -> DataFrame:
-    """Median, spread and first date per vendor. The sketch merges map-side, so a hot vendor costs no task more."""
+def vendor_medians(df: DataFrame) -> DataFrame:
+    """``vendor_id, median`` of the amounts, exact: equal amounts are counted first, then ranked in slices, so a hot vendor is no task."""
+    counts = df.groupBy("vendor_id", "cents").agg(F.count("*").alias("n"))
+    ranked = running_sums(counts, ["vendor_id"], ["cents"], ["n"])
+    total = counts.groupBy("vendor_id").agg(F.sum("n").alias("total"))
+    low, high = F.floor((F.col("total") - 1) / 2), F.ceil((F.col("total") - 1) / 2)
+    inside = lambda k: (k >= F.col("n_before")) & (k < F.col("n_before") + F.col("n"))
+    both = ranked.join(total, "vendor_id").groupBy("vendor_id").agg(
+        F.max(F.when(inside(low), F.col("cents"))).alias("a"), F.max(F.when(inside(high), F.col("cents"))).alias("b"))
+    return both.select("vendor_id", ((F.col("a") / F.lit(100.0) + F.col("b") / F.lit(100.0)) / 2.0).alias("median"))
+
+
+def vendor_stats(df: DataFrame) -> DataFrame:
+    """Median, spread and first date per vendor, the same on any cluster."""
     money = F.col("cents") / F.lit(100.0)
-    mid = F.percentile(money, F.lit(0.5)) if exact else F.percentile_approx(money, 0.5, 10_000).cast("double")
-    stats = df.groupBy("vendor_id").agg(mid.alias("median"), F.stddev_samp(money).alias("std"), F.min("ts").alias("first_ts"))
+    stats = df.groupBy("vendor_id").agg(F.stddev_samp(money).alias("std"), F.min("ts").alias("first_ts"))
+    stats = cut(vendor_medians(df).join(stats, "vendor_id"))
     return stats.withColumn("std", F.greatest(F.coalesce("std", F.col("median") * 0.3), F.lit(MIN_STD)))
 
 
@@ -144,7 +160,8 @@ def augment_cap(real: DataFrame, seed: int = 42) -> DataFrame:
     if n / vendors >= DENSE:
         return expand_vendor_history(real, 1, seed).limit(0)
     rows = expand_vendor_history(real, max(1, ceiling // vendors), seed)
-    # an exact cut of the hash order; the top-k runs per partition first
-    return rows.orderBy(F.xxhash64("tx_id", F.lit(seed)), "tx_id").limit(ceiling)
+    # an exact cut of the digest order, ranked in slices: no task holds more than its share
+    ranked = running_sums(rows.withColumns({"draw": uniform(F.col("tx_id"), F.lit(seed)), "one": F.lit(1)}), [], ["draw", "tx_id"], ["one"])
+    return ranked.filter(F.col("one_before") < ceiling).drop("draw", "one", "one_before")
 
 

@@ -11,7 +11,7 @@ from procspark.plans.audit_queries import SPEND_TEMPORAL, burst_rows, spend_rows
 from procspark.plans.case_queries import ATTR_SQL, attributions
 from procspark.registry import query
 from procspark.session import cut
-from procspark.sources.tables import spend, table
+from procspark.sources.tables import SPEND_SQL, spend, table
 
 # scores and labels by arithmetic on the keys: the label follows the score with noise
 SCORED_SQL = """WITH e AS (SELECT s / 1000.0 AS score, CASE WHEN s + (l_partkey * 29) % 700 > 1000 THEN 1 ELSE 0 END AS label, l_returnflag AS type
@@ -146,9 +146,23 @@ def _(spark, sf):
     return classifier.probability(data.filter("is_test"), fitted, cols).select("tx_id", "label", "anomaly_type", "probability")
 
 
-@query("expand_vendor_history")
+# the synthetic rows of ``augment`` from the same digests; {src}: vendor_id, cents, ts; {per}: rows per vendor
+EXPAND_SQL = """
+st AS (SELECT vendor_id, quantile_cont(cents / 100.0, 0.5) AS median, min(ts) AS first_ts FROM {src} GROUP BY vendor_id),
+kk AS (SELECT *, unnest(range(1, {per} + 1)) AS k FROM st),
+un AS (SELECT *, [CAST('0x' || substr(md5(concat_ws('|', vendor_id, k, 42, p)), 1, 10) AS BIGINT) / 1099511627776.0
+                  FOR p IN ['gap', 'day']] AS u,
+         [CAST('0x' || substr(md5(concat_ws('|', vendor_id, k, 42, 'amount', p)), 1, 10) AS BIGINT) / 1099511627776.0 FOR p IN ['a', 'b']] AS z FROM kk),
+ba AS (SELECT *, sum(CAST(floor(14 + u[1] * 77) AS BIGINT)) OVER (PARTITION BY vendor_id ORDER BY k) AS back FROM un),
+da AS (SELECT *, first_ts - to_days(CAST(back AS INTEGER)) AS day0 FROM ba),
+ex AS (SELECT vendor_id, concat_ws('-', 'syn', vendor_id, k) AS tx_id,
+    CAST(round(greatest(exp(ln(greatest(median, 1.0)) + sqrt(-2.0 * ln(greatest(z[1], 1e-12))) * cos(2.0 * pi() * z[2]) * 0.25), 100.0) * 100) AS BIGINT) AS cents,
+    day0 + to_days(CASE WHEN u[2] < 0.95 THEN CASE isodow(day0) WHEN 6 THEN -1 WHEN 7 THEN 1 ELSE 0 END ELSE 0 END) AS ts FROM da)"""
+
+
+@query("expand_vendor_history", "WITH " + SPEND_SQL + "," + EXPAND_SQL.format(src="spend", per=15) + " SELECT * FROM ex")
 def _(spark, sf):
-    return augment.expand_vendor_history(spend(spark, sf))
+    return augment.expand_vendor_history(spend(spark, sf)).select("vendor_id", "tx_id", "cents", "ts")
 
 
 @query("inject_labeled_anomalies")
@@ -156,12 +170,16 @@ def _(spark, sf):
     return augment.inject_labeled_anomalies(spend(spark, sf))
 
 
-@query("augment_cap", """SELECT CASE WHEN count(*) / count(DISTINCT o_custkey) >= 15 THEN 0
-  ELSE least(greatest(CAST(floor(count(*) * 0.05) AS BIGINT), 100), count(DISTINCT o_custkey) * greatest(1, greatest(CAST(floor(count(*) * 0.05) AS BIGINT), 100) // count(DISTINCT o_custkey))) END AS n FROM orders""")
+# a fixed number of orders per customer on average is below the dense limit, so rows are added up to the ceiling
+@query("augment_cap", """WITH src AS (SELECT o_custkey AS vendor_id, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_orderdate AS ts FROM orders),
+size AS (SELECT greatest(CAST(floor(count(*) * 0.05) AS BIGINT), 100) AS ceiling, count(*) / count(DISTINCT vendor_id) AS dense, count(DISTINCT vendor_id) AS v FROM src),""" +
+       EXPAND_SQL.format(src="src", per="(SELECT greatest(1, ceiling // v) FROM size)") + """,
+cutoff AS (SELECT *, row_number() OVER (ORDER BY CAST('0x' || substr(md5(concat_ws('|', tx_id, 42)), 1, 10) AS BIGINT), tx_id) AS r FROM ex)
+SELECT vendor_id, tx_id, cents, ts FROM cutoff, size WHERE r <= ceiling AND dense < 15""")
 def _(spark, sf):
     rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("vendor_id"), F.col("o_orderkey").cast("string").alias("tx_id"),
                                              F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"), F.col("o_orderdate").alias("ts"))
-    return augment.augment_cap(rows).agg(F.count("*").alias("n"))
+    return augment.augment_cap(rows).select("vendor_id", "tx_id", "cents", "ts")
 
 
 # ---------------------------------------------------------------------------------------------

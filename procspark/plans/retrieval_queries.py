@@ -36,6 +36,20 @@ def _(spark, sf):
     return text.chunk_text(table(spark, sf, "documents"), "doc_id", "text", ["source"])
 
 
+@query("chunk_text_paragraphs", """WITH p AS (SELECT doc_id, 1 + doc_id % 9 AS n FROM documents),
+c AS (SELECT doc_id, n, unnest(range((n + 1) // 2)) AS k FROM p),
+par AS (SELECT *, rpad(md5(concat_ws('-', doc_id, 2 * k)), 250, 'lorem, ') AS one, rpad(md5(concat_ws('-', doc_id, 2 * k + 1)), 250, 'lorem, ') AS two FROM c)
+SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, CAST(504 * k AS INTEGER) AS start_index,
+  trim(one || CASE WHEN 2 * k + 1 < n THEN chr(10) || chr(10) || two ELSE '' END) AS text FROM par""")
+def _(spark, sf):
+    """Texts of 1 to 9 paragraphs of 250 characters, one text per document: two of them fill a chunk."""
+    paragraph = lambda i: F.rpad(F.md5(F.concat_ws("-", "doc_id", i)), 250, "lorem, ")
+    n = (F.col("doc_id") % 9).cast("int")
+    built = F.array_join(F.transform(F.sequence(F.lit(0), n), paragraph), "\n\n")
+    docs = table(spark, sf, "documents").select("doc_id", built.alias("text"))
+    return text.chunk_text(docs, "doc_id", "text")
+
+
 @query("content_hash_dedup", """SELECT min(doc_id) AS doc_id, sha256(text) AS file_hash FROM documents GROUP BY text
 HAVING sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'de')""")
 def _(spark, sf):

@@ -35,6 +35,7 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) ->
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", conf.pop("driver_memory", "8g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in {**SQL_CONF, **conf}.items():
         builder = builder.config(key, value)
