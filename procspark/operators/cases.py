@@ -49,8 +49,11 @@ def case_upsert(scored: DataFrame, cases: DataFrame, policy: str = "ALL_SCORED")
     )
 
 
-def orchestration_summary(scored: DataFrame, upserted: DataFrame) -> DataFrame:
-    """Counters of one run. The two inputs are reduced apart and added up, which needs no join."""
+def orchestration_summary(scored: DataFrame, upserted: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """Counters of one run. The inputs are reduced apart and added up, which needs no join.
+
+    ``verdicts``: one row per case that was sent to triage, with ``escalate``; an escalated one had its deep audit.
+    """
     flag = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
     level = risk_level(F.col("anomaly_score"))
     a = scored.agg(F.count("*").alias("scanned"), F.count("anomaly_score").alias("scored"),
@@ -59,6 +62,8 @@ def orchestration_summary(scored: DataFrame, upserted: DataFrame) -> DataFrame:
     b = upserted.agg(flag(F.col("action") == "created").alias("cases_created"),
                      flag(F.col("action") == "updated").alias("cases_updated"))
     both = a.unionByName(b, allowMissingColumns=True)
+    if verdicts is not None:
+        both = both.unionByName(verdicts.agg(F.count("*").alias("llm_triaged"), flag(F.col("escalate")).alias("llm_deep_audited")), allowMissingColumns=True)
     return both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in both.columns])
 
 

@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+TASK_ROWS = 20_000
 # Fixed values of the training set-up.
 ROUNDS, DEPTH, STEP, ROW_SHARE, COLUMN_SHARE, LEAF_ROWS = 400, 4, 0.05, 0.8, "0.8", 5
 
@@ -22,6 +23,8 @@ def fit(df: DataFrame, cols: list[str], label: str = "label", rounds: int = ROUN
     """Positives weigh as much as negatives together; the weights come from one aggregate."""
     row = df.agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.count("*").alias("n")).first()
     weight = (row["n"] - row["pos"]) / max(row["pos"], 1)
+    # every round is several jobs, so few rows go in few tasks
+    df = df.coalesce(max(1, row["n"] // TASK_ROWS))
     data = VectorAssembler(inputCols=cols, outputCol="vec").transform(df).select(
         "vec", F.col(label).cast("double").alias("y"), F.when(F.col(label) == 1, float(weight)).otherwise(1.0).alias("w"))
     return GBTClassifier(featuresCol="vec", labelCol="y", weightCol="w", maxIter=rounds, maxDepth=DEPTH, stepSize=STEP,

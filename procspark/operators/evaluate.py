@@ -125,15 +125,20 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], n_slices
         F.first("part").alias("part")).select("feature", "prob", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"))
 
 
+Scale = dict[str, tuple[float, float]]
+
+
+def fit_scale(df: DataFrame, cols: list[str], n_slices: int | None = None) -> Scale:
+    """Median and spread (q90 - q10; zero becomes one) of every column: three numbers per column come to the driver."""
+    stats = {(r["feature"], r["prob"]): r["value"] for r in exact_quantiles(df, cols, [0.1, 0.5, 0.9], n_slices).collect()}
+    return {c: (stats[c, 0.5], (stats[c, 0.9] - stats[c, 0.1]) or 1.0) for c in cols}
+
+
+def apply_scale(df: DataFrame, scale: Scale) -> DataFrame:
+    moved = lambda c: ((F.col(c) - F.lit(scale[c][0])) / F.lit(scale[c][1])).alias(c)
+    return df.select(*[moved(c) if c in scale else F.col(c) for c in df.columns])
+
+
 def robust_scale(df: DataFrame, cols: list[str], n_slices: int | None = None) -> DataFrame:
     """(x - median) / (q90 - q10); a spread of zero divides by one."""
-    found = exact_quantiles(df, cols, [0.1, 0.5, 0.9], n_slices)
-    stats = {(r["feature"], r["prob"]): r["value"] for r in found.collect()}  # three numbers per column
-    out = []
-    for c in df.columns:
-        if c in cols:
-            spread = stats[c, 0.9] - stats[c, 0.1]
-            out.append(((F.col(c) - F.lit(stats[c, 0.5])) / F.lit(spread if spread != 0 else 1.0)).alias(c))
-        else:
-            out.append(F.col(c))
-    return df.select(*out)
+    return apply_scale(df, fit_scale(df, cols, n_slices))
