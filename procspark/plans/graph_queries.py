@@ -141,16 +141,50 @@ def _(spark, sf):
     return graph.tight_clusters(graph.award_edges(awards(spark, sf)))
 
 
-@query("betweenness")
+LEVELS = 7  # longer shortest paths than these graphs have
+_LEVEL = """, lv{k} AS (SELECT l.s, e.b AS t, sum(l.paths) AS paths FROM lv{j} l JOIN adj e ON l.t = e.a JOIN dist d ON d.s = l.s AND d.t = e.b AND d.d = {k} GROUP BY 1, 2)"""
+# shortest paths counted level by level, then the share of each node in those of every pair
+BETWEEN_SQL = """, adj AS (SELECT src AS a, dst AS b FROM vb UNION SELECT dst, src FROM vb UNION SELECT src, dst FROM bc UNION SELECT dst, src FROM bc
+  UNION SELECT src, dst FROM vv UNION SELECT dst, src FROM vv),
+walks AS (WITH RECURSIVE w(s, t, d) AS (SELECT DISTINCT a, a, 0 FROM adj UNION SELECT w.s, e.b, w.d + 1 FROM w JOIN adj e ON w.t = e.a WHERE w.d < """ + str(LEVELS) + """) SELECT * FROM w),
+dist AS (SELECT s, t, min(d) AS d FROM walks GROUP BY 1, 2),
+lv0 AS (SELECT s, t, 1.0::DOUBLE AS paths FROM dist WHERE d = 0)""" + "".join(_LEVEL.format(k=k, j=k - 1) for k in range(1, LEVELS + 1)) + """,
+sp AS (""" + " UNION ALL ".join(f"SELECT s, t, {k} AS d, paths FROM lv{k}" for k in range(LEVELS + 1)) + """),
+part AS (SELECT x.t AS node, sum(x.paths * y.paths / st.paths) AS b FROM sp x JOIN sp y ON x.t = y.s JOIN sp st ON st.s = x.s AND st.t = y.t AND st.d = x.d + y.d
+  WHERE x.d > 0 AND y.d > 0 GROUP BY 1),
+n AS (SELECT count(DISTINCT a) AS n FROM adj),
+btw AS (SELECT DISTINCT a AS node, coalesce(part.b, 0.0) / greatest((n - 1) * (n - 2), 1) AS betweenness FROM adj LEFT JOIN part ON node = a, n)"""
+
+
+@query("betweenness", REL_SQL + BETWEEN_SQL + " SELECT node, round(betweenness, 8) AS betweenness FROM btw")
 def _(spark, sf):
-    return graph.betweenness(graph.award_edges(awards(spark, sf)))
+    return graph.betweenness(graph.award_edges(awards(spark, sf))).select("node", F.round("betweenness", 8).alias("betweenness"))
+
+
+# five buyers with vendors and a category of their own; one vendor sells to all of them
+BRIDGE_SQL = """WITH spend AS (SELECT l_suppkey AS vendor_id, 'b' || CASE WHEN l_suppkey = 0 THEN l_orderkey % 5 ELSE l_suppkey % 5 END AS agency,
+  'c' || CASE WHEN l_suppkey = 0 THEN l_orderkey % 5 ELSE l_suppkey % 5 END AS category FROM lineitem), """ + REL_SQL[REL_SQL.index("vb AS"):]
+UNUSUAL_SQL = """SELECT 'UNUSUAL_CONNECTION' AS signal, round(least(betweenness * 2.5, 1.0), 8) AS score,
+  node || ' has high betweenness centrality (' || format('{:.3f}', betweenness) || ')' AS details FROM btw WHERE node LIKE 'vendor:%' AND betweenness >= 0.18"""
 
 
-@query("unusual_connections")
+def bridged(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.when(F.col("l_suppkey") == 0, F.col("l_orderkey") % 5).otherwise(F.col("l_suppkey") % 5)
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("vendor"), F.concat(F.lit("b"), k).alias("buyer"), F.concat(F.lit("c"), k).alias("category"))
+
+
+@query("unusual_connections", BRIDGE_SQL + BETWEEN_SQL + UNUSUAL_SQL)
 def _(spark, sf):
-    return graph.unusual_connections(graph.award_edges(awards(spark, sf)))
+    found = graph.unusual_connections(graph.award_edges(bridged(spark, sf)))
+    return found.withColumn("score", F.round("score", 8))
 
 
-@query("detect_signals")
+@query("detect_signals", BRIDGE_SQL + BETWEEN_SQL + """, und AS (SELECT a AS x, b AS y FROM adj),
+reach AS (SELECT DISTINCT s AS x, t AS y FROM dist),
+root AS (SELECT x, min(y) AS c FROM reach GROUP BY x),
+z AS (SELECT c, count(*) AS n, count(*) FILTER (WHERE x LIKE 'vendor:%') AS v, count(*) FILTER (WHERE x LIKE 'buyer:%') AS b FROM root GROUP BY c)
+""" + UNUSUAL_SQL + """
+UNION ALL SELECT 'TIGHT_CLUSTER', round(least((v + b) / 25.0, 1.0), 8), 'cluster vendors=' || v || ' buyers=' || b FROM z WHERE n >= 12 AND v >= 4 AND b >= 2
+UNION ALL SELECT 'REPEATED_AWARDS', round(least(weight / 20.0, 1.0), 8), src || ' repeatedly awarded by ' || dst || ' (' || weight || ' records)' FROM vb WHERE weight >= 5""")
 def _(spark, sf):
-    return graph.detect_signals(awards(spark, sf))
+    return graph.detect_signals(bridged(spark, sf)).withColumn("score", F.round("score", 8))
