@@ -31,6 +31,19 @@ def amount(*cols: Column) -> Column:
     return F.coalesce(chosen.try_cast("decimal(38,6)"), F.lit(0).cast("decimal(38,6)"))
 
 
+def json_amount(*cols: Column) -> Column:
+    """The first alternative that says something, as a decimal, from JSON values as variants.
+
+    Missing, null, empty text and the number 0 say nothing; the text "0" is a value. Text that is no number counts 0.
+    """
+    def told(v: Column) -> Column:
+        text = F.try_variant_get(v, "$", "string")
+        quoted = F.schema_of_variant(v) == "STRING"
+        return F.when(F.coalesce(F.when(quoted, text != "").otherwise(F.coalesce(text.try_cast("decimal(38,6)") != 0, text != "false")), F.lit(False)), text)
+
+    return F.coalesce(F.coalesce(*[told(v) for v in cols]).try_cast("decimal(38,6)"), F.lit(0).cast("decimal(38,6)"))
+
+
 def safe_timestamp(c: Column, ingest_ts: Column) -> Column:
     """ISO-8601 text as a time; without a zone it is UTC; anything else gives the ingest time."""
     return F.coalesce(F.when(c.rlike(_ISO_TIME), F.try_to_timestamp(F.trim(c))), ingest_ts)

@@ -454,7 +454,7 @@ AWARD_SQL = """
 award AS (
   SELECT tx_id AS external_id, CASE WHEN ln = 3 THEN 'UNKNOWN VENDOR' ELSE s_name END AS vendor_name,
     CASE WHEN ln % 2 = 0 THEN 'UEI' || l_suppkey END AS vendor_uei, CASE WHEN ln = 6 THEN NULL ELSE 'USA' END AS vendor_country,
-    CASE WHEN ln = 7 THEN 0.0 ELSE cents / 100.0 END AS amount, ts AS action_date, CAST(year(ts) AS INTEGER) AS fiscal_year,
+    CASE WHEN ln IN (3, 5, 7) THEN 0.0 ELSE cents / 100.0 END AS amount, ts AS action_date, CAST(year(ts) AS INTEGER) AS fiscal_year,
     chr(CAST(65 + l_partkey % 6 AS INTEGER)) AS award_type, src, ln, l_partkey, l_orderkey
   FROM feed WHERE src = 'USA'
 )"""
@@ -469,6 +469,8 @@ def award_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.when(ln == 7, "bad").when(ln % 2 == 0, _text()).otherwise("0").alias("Award Amount"),
         _text().alias("Total Outlays"), day_text().alias("Last Modified Date"), F.year("ts").alias("Fiscal Year"),
         F.char(F.lit(65) + F.col("l_partkey") % 6).alias("Award Type")))
+    # line 1 has the number 0, which gives way to the outlays, lines 3 and 5 the text "0", which is an amount
+    raw = F.when(ln == 1, F.replace(raw, F.lit('"Award Amount":"0"'), F.lit('"Award Amount":0'))).otherwise(raw)
     rows = feed(spark, sf).filter(F.col("src") == "USA").select("l_partkey", "l_orderkey", "ln", raw.alias("raw"))
     return awards.parse_award_record(rows, ingest_ts())
 

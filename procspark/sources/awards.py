@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procspark.functions.values import amount, first_of, safe_timestamp
+from procspark.functions.values import first_of, json_amount, safe_timestamp
 from procspark.sources.payloads import once
 
 # Contract award types and the smallest amount of interest.
@@ -26,12 +26,15 @@ SECTORS = {
 YEAR_WINDOWS = [(f"{y}-01-01", f"{y}-12-31") for y in range(2019, 2025)] + [("2025-01-01", "2025-03-31")]
 
 
+AMOUNTS = ("Award Amount", "Total Outlays")
+
+
 def parse_award_record(df: DataFrame, ingest_ts: Column) -> DataFrame:
     """Twelve typed fields from a raw award in column ``raw``; a bad amount is 0."""
     names = ["Award ID", "Recipient Name", "Recipient DUNS Number", "Place of Performance Country Code",
              "Award Amount", "Total Outlays", "Last Modified Date", "Fiscal Year", "Award Type",
              "NAICS Description", "Description", "Awarding Agency"]
-    df = once(df, "p", F.from_json("raw", "struct<" + ",".join(f"`{n}`: string" for n in names) + ">"))
+    df = once(df, "p", F.from_json("raw", "struct<" + ",".join(f"`{n}`: {'variant' if n in AMOUNTS else 'string'}" for n in names) + ">"))
     f = lambda n: F.col("p")[n]
     return df.select(
         *[c for c in df.columns if c not in ("raw", "p")],
@@ -39,7 +42,7 @@ def parse_award_record(df: DataFrame, ingest_ts: Column) -> DataFrame:
         first_of(f("Recipient Name"), default="UNKNOWN VENDOR").alias("vendor_name"),
         f("Recipient DUNS Number").alias("vendor_uei"),
         f("Place of Performance Country Code").alias("vendor_country"),
-        amount(f("Award Amount"), f("Total Outlays")).cast("double").alias("amount"),
+        json_amount(*[f(n) for n in AMOUNTS]).cast("double").alias("amount"),
         safe_timestamp(f("Last Modified Date"), ingest_ts).alias("action_date"),
         f("Fiscal Year").cast("int").alias("fiscal_year"),
         f("Award Type").alias("award_type"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procspark.functions.names import UNKNOWN_BUYER, UNKNOWN_VENDOR
-from procspark.functions.values import amount, first_of, safe_timestamp, trimmed
+from procspark.functions.values import first_of, json_amount, safe_timestamp, trimmed
 
 # The keys under which feeds deliver their list of records, in order of preference.
 RECORD_KEYS = ["records", "results", "data", "items", "tenders", "releases"]
@@ -45,8 +45,12 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
 
 
+# amounts keep their JSON type: the number 0 says nothing, the text "0" is a value
+_AMOUNTS = {"Award Amount", "award_amount", "value", "contract_value", "estimated_value"}
+
+
 def _fields(*names: str) -> str:
-    return "struct<" + ",".join(f"`{n}`: string" for n in names) + ">"
+    return "struct<" + ",".join(f"`{n}`: {'variant' if n in _AMOUNTS else 'string'}" for n in names) + ">"
 
 
 def _canonical(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
@@ -66,7 +70,7 @@ def canonicalize_usa(df: DataFrame, ingest_ts: Column) -> DataFrame:
         "transaction_id": F.trim(first_of(f("Award ID"), f("award_id"), default="")),
         "buyer": trimmed(first_of(f("Awarding Agency"), f("awarding_agency")), UNKNOWN_BUYER),
         "vendor": trimmed(first_of(f("Recipient Name"), f("vendor_name")), UNKNOWN_VENDOR),
-        "amount": amount(f("Award Amount"), f("award_amount")),
+        "amount": json_amount(f("Award Amount"), f("award_amount")),
         "currency": F.lit("USD"),
         "timestamp": safe_timestamp(first_of(f("Last Modified Date"), f("action_date")), ingest_ts),
         "source": F.lit("USA"),
@@ -87,7 +91,7 @@ def canonicalize_cppp(df: DataFrame, ingest_ts: Column) -> DataFrame:
         "transaction_id": F.trim(first_of(f("tender_id"), f("id"), f("reference_no"), default="")),
         "buyer": trimmed(first_of(f("buyer"), f("department"), f("authority")), UNKNOWN_BUYER),
         "vendor": trimmed(first_of(f("vendor"), f("awarded_to"), f("supplier")), UNKNOWN_VENDOR),
-        "amount": amount(f("value"), f("contract_value"), f("estimated_value")),
+        "amount": json_amount(f("value"), f("contract_value"), f("estimated_value")),
         "currency": F.upper(first_of(f("currency"), default="INR")),
         "timestamp": safe_timestamp(first_of(f("published_date"), f("date"), f("updated_at")), ingest_ts),
         "source": F.lit("CPPP"),
