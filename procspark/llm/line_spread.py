@@ -78,10 +78,10 @@ def _strip_in_place(docs: DataFrame, spread: frozenset[int], id_col: str, text_c
         found = [_stripped(t, spread, most) for t in raw(batch, text_col)]
         cols = [*[batch.column(k) for k in range(len(names) - 1)], pa.array([f[0] for f in found], pa.binary()).cast(pa.string()),
                 pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())]
-        return pa.RecordBatch.from_arrays(cols, names=[*names, "n_lines", "n_removed"])
+        return pa.RecordBatch.from_arrays(cols, names=[*names[:-1], "text*", "n_lines*", "n_removed*"])
 
-    return arrow_map(source, run, T.StructType([*source.schema.fields[:-1], T.StructField(text_col, T.StringType()), T.StructField("n_lines", T.LongType()),
-                                                T.StructField("n_removed", T.LongType())]))
+    fields = [T.StructField("text*", T.StringType()), T.StructField("n_lines*", T.LongType()), T.StructField("n_removed*", T.LongType())]
+    return arrow_map(source, run, T.StructType([*source.schema.fields[:-1], *fields]))
 
 
 def _strip_by_join(docs: DataFrame, spread: DataFrame, id_col: str, text_col: str, keep: list[str], most: float) -> DataFrame:
@@ -103,7 +103,7 @@ def _strip_by_join(docs: DataFrame, spread: DataFrame, id_col: str, text_col: st
     real = F.size(F.filter("lines", lambda x: F.length(_trimmed(x)) > 0)).cast("bigint")
     removed = F.when(F.col("take"), F.size("lines") - F.size("stays")).otherwise(0).cast("bigint")
     return judged.select(F.col("d.id").alias(id_col), *[F.col(f"d.k{i}").alias(c) for i, c in enumerate(keep)],
-                         out.alias(text_col), real.alias("n_lines"), removed.alias("n_removed"))
+                         out.alias("text*"), real.alias("n_lines*"), removed.alias("n_removed*"))
 
 
 def strip_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", keep: tuple[str, ...] = (),
@@ -112,11 +112,15 @@ def strip_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Lines are joined again by one line feed; blank lines stay. Null text is empty. If spread lines hold more than ``most``
     of a text's characters, nothing is removed from it. Rows with a null id, and repeated rows, are handled alike. An empty table gives an
-    empty result. Up to ``few`` spread lines, their hashes are sent to the tasks; more are joined. Both give the same rows.
+    empty result. Up to ``few`` spread lines, their hashes are sent to the tasks; more are joined. Both give the same rows. A kept
+    column named ``n_lines`` or ``n_removed`` stands instead of the count.
     """
     rest = [c for c in keep if c not in (id_col, text_col)]
     spread = spread_lines(docs, text_col, site_col, min_sites)
     some = [r["h"] for r in spread.limit(few + 1).collect()]
     if len(some) > few:
-        return _strip_by_join(docs, spread, id_col, text_col, rest, most)
-    return _strip_in_place(docs, frozenset(h % 2**64 for h in some), id_col, text_col, rest, most)
+        found = _strip_by_join(docs, spread, id_col, text_col, rest, most)
+    else:
+        found = _strip_in_place(docs, frozenset(h % 2**64 for h in some), id_col, text_col, rest, most)
+    counts = [F.col(f"`{c}*`").alias(c) for c in ("n_lines", "n_removed") if c not in (id_col, text_col, *rest)]
+    return found.select(*[F.col(f"`{c}`") for c in (id_col, *rest)], F.col("`text*`").alias(text_col), *counts)

@@ -86,6 +86,9 @@ def test_odd_lines(spark):
     assert joined.columns == ["doc_id", "spread", "source", "text", "n_lines", "n_removed"]
     assert sorted(map(str, joined.select(got.columns).collect())) == sorted(map(str, got.collect()))
     assert got.columns == ["doc_id", "text", "n_lines", "n_removed"]
+    for few in (0, 100):
+        own = line_spread.strip_boilerplate(df.withColumn("n_lines", df.doc_id * 0 - 1), few=few, keep=("n_lines",))
+        assert own.columns == ["doc_id", "n_lines", "text", "n_removed"] and {r.n_lines for r in own.collect()} <= {-1, None}
     out = defaultdict(list)
     for r in got.collect():
         out[r.doc_id].append(r)
