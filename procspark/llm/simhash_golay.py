@@ -242,9 +242,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows with a null id can't be named and stay. Of rows that share an id, one stays.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    first = cut(found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("copies")))
-    kept = docs.join(first.select(id_col), id_col, "left_semi").select(*[f"`{c}`" for c in docs.columns])
-    if not first.filter("copies > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    found = near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("id*"), "component_id").filter(F.col("`id*`").isNotNull())
+    by_id = cut(found.groupBy("`id*`").agg(F.max(F.col("`id*`") == F.col("component_id")).alias("stays"), F.count("*").alias("n")))
+    # only ids travel: sent to the texts while they are few, else joined
+    gone = lookup(by_id.filter(~F.col("stays")).select("`id*`"))
+    kept = docs.join(gone, docs[id_col] == gone["`id*`"], "left_anti")
+    if by_id.filter("n > 1").isEmpty():
+        return kept
+    named = F.col(f"`{id_col}`").isNotNull()
+    return kept.filter(named).dropDuplicates([id_col]).unionByName(kept.filter(~named))
