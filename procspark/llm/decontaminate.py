@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procspark.llm.common import only, raw
-from procspark.session import cut
+from procspark.session import cut, lookup
 
 WORDS, SHARE = 5, 0.8
 _BITS = 24  # the bitmap has 2^24 bits, 2 MB, whatever the number of items
@@ -131,6 +131,7 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
           words: int = WORDS, share: float = SHARE) -> DataFrame:
     """The rows of ``docs`` that contain no item, with all their columns, as often as they are there."""
     found = _search(docs, items, id_col, text_col, item_col, item_text, words, share)
-    bad = found.select(F.struct("i", "t").alias("key")).distinct()
+    # only keys travel: sent to the texts while they are few, else joined
+    bad = lookup(found.select(F.struct("i", "t").alias("key")).distinct())
     key = F.struct(F.col(f"`{id_col}`").alias("i"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("t"))
     return docs.join(bad, key == bad["key"], "left_anti")
