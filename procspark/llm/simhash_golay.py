@@ -242,7 +242,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows with a null id can't be named and stay. Of rows that share an id, one stays.
     """
-    found = near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("id*"), "component_id").filter(F.col("`id*`").isNotNull())
+    return keep_named(docs, near_duplicates(docs, id_col, text_col), id_col)
+
+
+def keep_named(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """``keep_first`` for components that are given as ``id, component_id``."""
+    found = found.select(F.col(id_col).alias("id*"), "component_id").filter(F.col("`id*`").isNotNull())
     by_id = cut(found.groupBy("`id*`").agg(F.max(F.col("`id*`") == F.col("component_id")).alias("stays"), F.count("*").alias("n")))
     # only ids travel: sent to the texts while they are few, else joined
     gone = lookup(by_id.filter(~F.col("stays")).select("`id*`"))
