@@ -2,8 +2,10 @@
 
 A page is cut into blocks; a block's path is the chain of block elements above it. Text length and punctuation are
 summed per path, divided by the path's blocks, smoothed along the page, fused with what the element names say, and
-paths over a threshold are content. The smallest element that holds most of the content is the article: its other
-blocks (headings, short paragraphs) belong to it unless they are mostly links or stand in a rejected element.
+paths over a threshold are content. From the smallest element that holds most of the content one climbs to the article,
+main or content-named element around it (without any, to the smallest element that holds all content): its other
+blocks (headings, leads, short sections) belong to it unless they are mostly links or stand in a rejected element. Content
+in a further article, main or content-named element is kept as well.
 """
 
 from __future__ import annotations
@@ -174,6 +176,28 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
 
 
+def _article_of(core: _Element, chosen: list[_Element]) -> _Element:
+    """The outermost article around ``core``, else the nearest main, else the outermost content-named element, else what holds all ``chosen``."""
+    chain = [core]
+    while chain[-1].parent is not None:
+        chain.append(chain[-1].parent)
+    for found in ([e for e in chain if e.name == "article"][-1:], [e for e in chain if e.name == "main"][:1], [e for e in chain if e.good][-1:]):
+        if found:
+            return found[0]
+    left = {id(e): e for e in chosen}
+    for top in chain:
+        left = {k: e for k, e in left.items() if not _within(e, top)}
+        if not left:
+            return top
+    return chain[-1]
+
+
+def _within(e: _Element | None, top: _Element) -> bool:
+    while e is not None and e is not top:
+        e = e.parent
+    return e is top
+
+
 def main_text(page: str | None, share: float = 0.1, link_share: float = 0.5) -> str:
     """The article's blocks, one per line. ``share``: a path is content from this part of the best fused ratio on."""
     found = [b for b in blocks_of(page or "") if not b[0].apart]
@@ -208,17 +232,16 @@ def main_text(page: str | None, share: float = 0.1, link_share: float = 0.5) ->
                 e = e.parent
     enough = [e for k, e in seen.items() if held[k] >= 0.8 * total]
     article = max(enough, key=lambda e: e.path.count("/"), default=None)
-    if article is not None and article.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "pre", "blockquote"):
+    if article is None:
+        return ""
+    if article.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "pre", "blockquote"):
         article = article.parent
-
-    def inside(e):
-        while e is not None:
-            if e is article:
-                return True
-            e = e.parent
-        return False
-
-    keep = [text for e, text, linked in found if inside(e) and (e.path in chosen or linked <= link_share * len(text))]
+    article = _article_of(article, [e for e, _, _ in found if e.path in chosen])
+    inside: dict[int, bool] = {}
+    for e, _, _ in found:
+        if id(e) not in inside:
+            inside[id(e)] = _within(e, article)
+    keep = [text for e, text, linked in found if (inside[id(e)] and (e.path in chosen or linked <= link_share * len(text))) or (e.good and e.path in chosen)]
     return "\n".join(keep)
 
 
