@@ -17,14 +17,21 @@ from procspark.session import cut, shared_folder
 from procspark.sources.tables import cases, spend
 
 _trained: dict[tuple[str, str], str] = {}
-KEYS = ["vendor_id", "tx_id", "ts", "cents"]
+KEYS = ["vendor_id", "tx_id", "ts", "cents", "agency"]
+
+
+def _with_agency(made: DataFrame, real: DataFrame) -> DataFrame:
+    """Made-up rows take their vendor's most frequent agency, of equals the first by name."""
+    counts = real.filter("agency is not null").groupBy("vendor_id", "agency").agg(F.count("*").alias("n"))
+    usual = counts.groupBy("vendor_id").agg(F.min_by("agency", F.struct(-F.col("n"), "agency")).alias("agency"))
+    return made.join(usual, "vendor_id", "left")
 
 
 def _with_labelled(spark: SparkSession, sf: str, seed: int) -> DataFrame:
     """Features of the invoices, their synthetic history and a labelled set; only the set has labels."""
-    real = spend(spark, sf).select(*KEYS)
-    history = real.unionByName(augment.augment_cap(real).select(*KEYS))
-    extra = augment.inject_labeled_anomalies(real, seed=seed).select(*KEYS, "label", "anomaly_type")
+    real = spend(spark, sf, agency=True).select(*KEYS)
+    history = real.unionByName(_with_agency(augment.augment_cap(real), real).select(*KEYS))
+    extra = _with_agency(augment.inject_labeled_anomalies(real, seed=seed), real).select(*KEYS, "label", "anomaly_type")
     return cut(feat.feature_matrix(history.unionByName(extra, allowMissingColumns=True)))
 
 
@@ -68,14 +75,17 @@ def _(spark, sf):
     return out
 
 
+def _unscored(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
+    """All features of the unscored invoices; the scored ones count as history and as peers."""
+    return feat.feature_matrix(rows.select(*KEYS, "is_scored"), count_on=spend(spark, sf)).filter(~F.col("is_scored"))
+
+
 @query("orchestration_run")
 def _(spark, sf):
     """One run over all unscored invoices: features, both model stages, rules and risks, cases, budget, verdicts, counters."""
     rows = spend(spark, sf, agency=True, category=True)
     model = trained(spark, sf)
-    featured = feat.temporal_features(rows.select(*KEYS, "agency", "is_scored"), count_on=spend(spark, sf)).withColumns(
-        {"amount_vs_category_avg": F.lit(1.0), "invoice_freq_vs_category": F.lit(1.0)})
-    todo = featured.filter(~F.col("is_scored"))
+    todo = _unscored(spark, sf, rows)
     scored, _ = rules.score_batch(models.apply(todo, model), vr.vendor_risk_profile(rows), graph.graph_risk_score(rows))
     none_type = "array<struct<feature: string, raw_value: double, impact: double>>"
     scored = cut(scored.withColumns({"top_reason": F.concat_ws("; ", "triggered_rules"), "attributions": F.array().cast(none_type)}))
