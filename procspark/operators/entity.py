@@ -1,37 +1,28 @@
 """Vendor names that mean the same vendor.
 
-Similarity is the Ratcliff-Obershelp ratio 2M / (|a| + |b|) of the standard library. It is only computed for
-candidate pairs, and the candidates are complete: a ratio of at least r leaves at most D = (1 - r)(|a| + |b|)
-characters unmatched, so of any D + 1 segments of the longer name one occurs unchanged in the shorter one, moved
-by no more than the edits allow (the partition lemma of segment-based similarity joins).
+Similarity is the Ratcliff-Obershelp ratio 2M / (|a| + |b|), computed for batches of pairs (``functions/matching``). It is only
+computed for candidate pairs, which share rare grams (``rare_grams``); the candidates are complete.
 """
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from procspark.functions.matching import ratios
 from procspark.functions.names import canonical_vendor_id, normalize_vendor_name
-from procspark.operators.pairs import pair_tiles
+from procspark.operators import rare_grams
 from procspark.session import cut
 
 THRESHOLD = 0.88
-_EPS = 1e-9
 
 
 @F.pandas_udf(T.DoubleType())
 def name_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Not symmetric in general: ``left`` is the first sequence."""
-    matcher = difflib.SequenceMatcher()
-    out = []
-    for a, b in zip(left, right):
-        matcher.set_seqs(a, b)
-        out.append(matcher.ratio())
-    return pd.Series(out, dtype=float)
+    return pd.Series(ratios(left.tolist(), right.tolist()), dtype=float)
 
 
 def clean_names(df: DataFrame, name: str, order: str) -> DataFrame:
@@ -41,56 +32,16 @@ def clean_names(df: DataFrame, name: str, order: str) -> DataFrame:
         F.min("ord").alias("ord"), F.count("*").alias("variants"))
 
 
-def _segments(threshold: float) -> Column:
-    """Index side: the segments of a name, seen as the longer one of a pair."""
-    n = F.length("clean")
-    parts = (F.floor((1 - threshold) * 2 * n + _EPS) + 1).cast("int")
-    start = lambda i: F.floor(i * n / parts).cast("int")
-    return F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(
-        n.alias("n"), i.cast("int").alias("part"), F.substring("clean", start(i) + 1, start(i + 1) - start(i)).alias("text")))
-
-
-def _probes(threshold: float) -> Column:
-    """Probe side: the substrings at which a segment of a longer name may sit in this shorter name."""
-    m = F.length("clean")
-    longest = F.floor(m * (2 - threshold) / threshold + _EPS).cast("int")
-
-    def for_length(n: Column) -> Column:
-        parts = (F.floor((1 - threshold) * 2 * n + _EPS) + 1).cast("int")
-        edits = F.floor((1 - threshold) * (n + m) + _EPS)
-        low, high = F.ceil((m - n - edits) / 2).cast("int"), F.floor((m - n + edits) / 2).cast("int")
-        start = lambda i: F.floor(i * n / parts).cast("int")
-
-        def for_part(i: Column) -> Column:
-            size = start(i + 1) - start(i)
-            first = F.greatest(F.lit(0), start(i) + low)
-            last = F.least(m - size, start(i) + high)
-            places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-            return F.transform(places, lambda p: F.struct(
-                n.alias("n"), i.cast("int").alias("part"), F.substring(F.col("clean"), p + 1, size).alias("text")))
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), parts - 1), for_part))
-
-    return F.array_distinct(F.flatten(F.transform(F.sequence(m, longest), for_length)))
-
-
 def candidate_pairs(names: DataFrame, threshold: float = THRESHOLD, block_rows: int = 2_000) -> DataFrame:
-    """Pairs of clean names that may reach the threshold, ``a`` the earlier one. No pair that does is missed.
-
-    The edit bound is checked inside the join's stage with the built-in distance before pairs are shuffled for
-    deduplication; keys shared by many names are joined in tiles.
-    """
-    side = lambda sigs, k: names.select("clean", "ord", F.explode(sigs).alias("g")).select(
-        "g.n", "g.part", "g.text", F.lit(k).alias("side"), "clean", "ord")
-    keys = side(_segments(threshold), 0).unionByName(side(_probes(threshold), 1))
-    pairs = pair_tiles(keys, ["n", "part", "text"], "clean", ["ord"], block_rows, two_sided=True)
+    """Pairs of clean names that may reach the threshold, ``a`` the earlier one. No pair that does is missed."""
+    found = rare_grams.candidates(names.filter(F.length("clean") > 0), "clean", threshold, block_rows=block_rows)
+    place = names.select("clean", "ord")
+    pairs = found.join(place.select(F.col("clean").alias("l"), F.col("ord").alias("l_ord")), "l").join(
+        place.select(F.col("clean").alias("r"), F.col("ord").alias("r_ord")), "r")
     a_first = F.col("l_ord") < F.col("r_ord")
-    pairs = pairs.filter(F.col("l_clean") != F.col("r_clean")).select(
-        F.when(a_first, F.col("l_clean")).otherwise(F.col("r_clean")).alias("a"),
-        F.when(a_first, F.col("r_clean")).otherwise(F.col("l_clean")).alias("b"),
+    return pairs.select(
+        F.when(a_first, F.col("l")).otherwise(F.col("r")).alias("a"), F.when(a_first, F.col("r")).otherwise(F.col("l")).alias("b"),
         F.least("l_ord", "r_ord").alias("a_ord"), F.greatest("l_ord", "r_ord").alias("b_ord"))
-    edits = f"CAST(floor({1 - threshold} * (length(a) + length(b)) + {_EPS}) AS INT)"
-    return pairs.filter(f"levenshtein(a, b, {edits}) >= 0").distinct()
 
 
 def scored_pairs(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
