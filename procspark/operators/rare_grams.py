@@ -3,12 +3,15 @@
 A ratio of at least ``t`` leaves at most ``D = (1 - t)(|a| + |b|)`` characters unmatched: ``x`` deleted from ``a`` and ``y`` inserted, with
 ``x - y = |a| - |b|``. A deletion touches ``q`` grams of ``a`` and an insertion ``q - 1``, so at least ``c`` grams stay, in order and moved by no more
 than the edits. With the grams of all names in one global order, rarest first, two names that share ``c`` grams share ``k`` of them
-among their first ``G - c + k``. ``k`` is 2 wherever ``c`` allows:
+among their first ``G - c + k``. ``k`` is 3 wherever ``c`` allows, and as many of the three make a key as it takes to be rare:
 
-* if the rarer of the two is a rare gram of the whole table, it is a key by itself; the rows under such a key are bounded;
-* else a key is a pair of grams, so two names only meet if they share a second gram.
+* the first alone, if it is a rare gram of the whole table; the rows under such a key are bounded;
+* else the first two, if gram counts let few names hold both: names only meet if they share a second gram;
+* else all three.
 
-Lengths and places are compared inside the join, before a pair exists; keys with many rows are joined in tiles.
+What decides are counts of the whole table, so both names of a pair take the same form. Bigrams are used, as a common word then only
+comes into the keys of names that are half common words. Lengths and places are compared inside the join, before a pair exists; keys with many
+rows are joined in tiles.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from procspark.session import cut
 EPS = 1e-9
 RARE = 64
 _BUCKETS = 1 << 16  # gram counts are kept by checksum: a table of fixed size, whatever the alphabet
-_SCHEMES = ((3, 2), (2, 2), (2, 1), (1, 1))  # q, k: the first that a pair's lengths allow
+_SCHEMES = ((2, 3), (2, 2), (2, 1), (1, 1))  # q, k: the first that a pair's lengths allow
 
 
 def edits(n: int, m: int, threshold: float) -> int:
@@ -74,7 +77,7 @@ def _bucket(gram: str) -> int:
 
 
 def gram_counts(names: DataFrame, name: str) -> dict[int, np.ndarray]:
-    """Occurrences of the grams of every size in all names, by bucket: one pass, at most ``3 * _BUCKETS`` rows reach the driver."""
+    """Occurrences of the grams of every size in all names, by bucket: one pass, at most ``2 * _BUCKETS`` rows reach the driver."""
 
     def grams(q: int) -> Column:
         n = F.length(name) - (q - 1)
@@ -89,52 +92,60 @@ def gram_counts(names: DataFrame, name: str) -> dict[int, np.ndarray]:
     return out
 
 
-def keys_of(name: str, counts: dict[int, np.ndarray], threshold: float, rare: int = RARE) -> list[tuple[int, int, int]]:
-    """``key, place, place`` of every key of a name."""
+def keys_of(name: str, counts: dict[int, np.ndarray], total: int, threshold: float, rare: int = RARE) -> list[tuple[int, int, int, int]]:
+    """``key, place, place, place`` of every key of a name; a key of fewer grams repeats its last place. ``total`` is the number of names."""
     out = []
     for number, take in prefixes(len(name), threshold):
         q, k = _SCHEMES[number]
         ranked = sorted((int(counts[q][_bucket(g)]), g, i) for i, g in enumerate(name[i:i + q] for i in range(len(name) - q + 1)))[:take]
+        place = [i for *_, i in ranked]
         sums = [zlib.crc32(f"{number}{g}".encode()) for _, g, _ in ranked]
-        for a, (count, _, i) in enumerate(ranked[:len(ranked) if k == 1 else len(ranked) - 1]):
-            if k == 1 or count <= rare:
-                out.append((sums[a] << 32 | sums[a], i, i))
-            else:
-                out += [(sums[a] << 32 | sums[b], i, ranked[b][2]) for b in range(a + 1, len(ranked))]
+        n = len(ranked)
+        for a in range(n - k + 1):
+            few = ranked[a][0]
+            if k == 1 or few <= rare:
+                out.append((sums[a] << 32 | sums[a], place[a], place[a], place[a]))
+                continue
+            for b in range(a + 1, n - k + 2):
+                if k == 2 or few * ranked[b][0] <= rare * total:
+                    out.append((sums[a] << 32 | sums[b], place[a], place[b], place[b]))
+                    continue
+                both = zlib.crc32(sums[b].to_bytes(4, "big"), sums[a])
+                out += [(both << 32 | sums[c], place[a], place[b], place[c]) for c in range(b + 1, n)]
     return out
 
 
-def near(n: Column, m: Column, places: list[tuple[Column, Column]], threshold: float) -> Column:
-    """Whether the lengths, and the places of what two names share, allow the ratio."""
+def near(n: Column, m: Column, left: list[Column], right: list[Column], threshold: float) -> Column:
+    """Whether the lengths, and the places of what two names share, allow the ratio. Kept short: it runs in the join, once for each row pair of a key."""
     d = F.floor((1 - threshold) * (n + m) + EPS)
     ok = F.abs(n - m) <= d
-    for p, r in places:
-        ok = ok & (2 * (p - r) <= d + n - m) & (2 * (r - p) <= d - n + m)
+    for p, r in zip(left, right):
+        ok = ok & (F.abs(2 * (p - r) - (n - m)) <= d)
     return ok
 
 
 def keyed(names: DataFrame, name: str, threshold: float, rare: int = RARE) -> DataFrame:
-    """``member, key, n, p, q``: the keys of every name with its length and the places of the grams; frozen in the shared folder."""
+    """``member, key, n, p, q, s``: the keys of every name with its length and the places of the grams; frozen in the shared folder."""
     held = names.select(name)
-    counts = gram_counts(held, name)
+    counts, total = gram_counts(held, name), held.count()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(0).to_pylist()
-        found = [keys_of(t, counts, threshold, rare) for t in texts]
+        found = [keys_of(t, counts, total, threshold, rare) for t in texts]
         each = np.array([len(f) for f in found], dtype=np.int64)
-        flat = np.array([k for f in found for k in f], dtype=np.uint64).reshape(-1, 3)
+        flat = np.array([k for f in found for k in f], dtype=np.uint64).reshape(-1, 4)
         n = np.repeat(np.array([len(t) for t in texts], dtype=np.int32), each)
         member = batch.column(0).take(pa.array(np.repeat(np.arange(len(texts)), each)))
         return pa.RecordBatch.from_arrays(
-            [member, pa.array(flat[:, 0].view(np.int64)), pa.array(n), *(pa.array(flat[:, c].astype(np.int32)) for c in (1, 2))], names=["member", "key", "n", "p", "q"])
+            [member, pa.array(flat[:, 0].view(np.int64)), pa.array(n), *(pa.array(flat[:, c].astype(np.int32)) for c in (1, 2, 3))], names=["member", "key", "n", "p", "q", "s"])
 
-    return cut(held.mapInArrow(lambda batches: map(run, batches), "member string, key bigint, n int, p int, q int"))
+    return cut(held.mapInArrow(lambda batches: map(run, batches), "member string, key bigint, n int, p int, q int, s int"))
 
 
 def meetings(keys: DataFrame, threshold: float, block_rows: int = 2_000) -> DataFrame:
     """``l, r, l_n, r_n``: names under one key whose lengths and places allow the ratio; a pair once for each key it shares."""
-    met = pair_tiles(keys, ["key"], "member", ["n", "p", "q"], block_rows)
-    close = near(F.col("l_n"), F.col("r_n"), [(F.col("l_p"), F.col("r_p")), (F.col("l_q"), F.col("r_q"))], threshold)
+    met = pair_tiles(keys, ["key"], "member", ["n", "p", "q", "s"], block_rows)
+    close = near(F.col("l_n"), F.col("r_n"), [F.col(f"l_{c}") for c in "pqs"], [F.col(f"r_{c}") for c in "pqs"], threshold)
     return met.filter(close).select(F.col("l_member").alias("l"), F.col("r_member").alias("r"), "l_n", "r_n")
 
 
