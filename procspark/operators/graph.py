@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from procspark.operators import centrality
 from procspark.operators.components import connected_components
 from procspark.operators.pairs import pair_tiles
 from procspark.session import cut
@@ -194,12 +195,13 @@ def tight_clusters(edges: DataFrame) -> DataFrame:
         F.concat(F.lit("cluster vendors="), "v", F.lit(" buyers="), "b").alias("details"))
 
 
-def betweenness(edges: DataFrame, block_rows: int = 2_000) -> DataFrame:
-    """Exact normalized betweenness of every node, ``node, betweenness``; every node is a source.
+def betweenness(edges: DataFrame, block_rows: int = 2_000, share: float = 1.0, sources: int = centrality.SOURCES) -> DataFrame:
+    """Normalized betweenness of every node, ``node, betweenness``: exact, or from a ``share`` of the nodes as sources with the error that
+    ``centrality.error_bound`` states for their number.
 
     Nodes with equal neighbours lie on the same shortest paths, so the search runs on classes with counts:
     vendors with equal buyers (neighbours of each other), categories with equal buyers, buyers with equal
-    vendors and categories. Levels and back-propagation are joins over (source class, class) frames.
+    vendors and categories.
     """
     plain = edges.filter(F.col("relation") != "shared_buyer").select("src", "dst")
     both = cut(plain.unionByName(plain.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
@@ -209,55 +211,17 @@ def betweenness(edges: DataFrame, block_rows: int = 2_000) -> DataFrame:
     classes = cut(reduce(DataFrame.unionByName, [
         neighbour_classes(nodes.filter(kind == k), "node", "other") for k in ("vendor", "buyer", "category")]
     ).select("node", F.col("class").alias("c"), "size"))
-    n = classes.count()
-    heads = classes.filter(F.col("node") == F.col("c")).select("c", "size", F.col("c").startswith("vendor:").alias("clique"))
-    links = both.join(heads.select(F.col("c").alias("src")), "src").join(
+    weights = classes.groupBy("c").agg(F.first("size").alias("size"), F.sum(centrality.drawn(F.col("node"), share).cast("bigint")).alias("weight"))
+    heads = cut(weights.withColumn("clique", F.col("c").startswith("vendor:")))
+    n, m = heads.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    links = both.join(heads.select(F.col("c").alias("src")), "src", "left_semi").join(
         classes.select(F.col("node").alias("dst"), F.col("c").alias("d")), "dst").select(F.col("src").alias("a"), F.col("d").alias("b")).distinct()
     vb = links.filter(F.col("a").startswith("vendor:")).select(F.col("a").alias("vendor"), F.col("b").alias("buyer"))
     vv = pair_tiles(vb, ["buyer"], "vendor", block_rows=block_rows).select(F.col("l_vendor").alias("a"), F.col("r_vendor").alias("b")).distinct()
-    adj = cut(links.unionByName(vv).unionByName(vv.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(
-        heads.select(F.col("c").alias("b"), F.col("size").alias("b_size")), "b").select("a", "b", "b_size"))
-
-    # forward: distance and number of shortest paths from one member of class s to one member of class t
-    level = cut(heads.select(F.col("c").alias("s"), F.col("c").alias("t"), F.lit(1.0).alias("paths"), F.lit(1.0).alias("many")))
-    levels, seen = [level], level.select("s", "t")
-    while True:
-        step = level.join(adj, level.t == adj.a).groupBy("s", F.col("b").alias("t")).agg(
-            F.sum(F.col("paths") * F.col("many")).alias("paths"), F.first("b_size").cast("double").alias("many"))
-        level = cut(step.join(seen, ["s", "t"], "left_anti"))
-        if level.isEmpty():
-            break
-        levels.append(level)
-        seen = cut(seen.unionByName(level.select("s", "t")))
-
-    # backward: dependency of s on one member of t; members of an open source class reach each other through
-    # every neighbour of theirs
-    degree = adj.groupBy("a").agg(F.sum("b_size").alias("deg"))
-    open_ = heads.filter(~F.col("clique") & (F.col("size") > 1)).join(degree, F.col("c") == F.col("a")).select(
-        F.col("c").alias("s"), ((F.col("size") - 1) / F.col("deg")).alias("own"))
-    total, below = None, None
-    for depth in range(len(levels) - 1, 0, -1):
-        here = levels[depth]
-        if below is None:
-            delta = here.withColumn("delta", F.lit(0.0))
-        else:
-            back = adj.join(below, F.col("b") == F.col("t")).select(
-                "s", F.col("a").alias("t"), (F.col("many") * (1.0 + F.col("delta")) / F.col("paths")).alias("share"))
-            back = back.groupBy("s", "t").agg(F.sum("share").alias("share"))
-            delta = here.join(back, ["s", "t"], "left").withColumn(
-                "delta", F.coalesce(F.col("paths") * F.col("share"), F.lit(0.0))).select("s", "t", "paths", "many", "delta")
-        if depth == 1:
-            delta = delta.join(open_, "s", "left").withColumn("delta", F.col("delta") + F.coalesce("own", F.lit(0.0))).drop("own")
-        below = cut(delta)
-        part = below.select("s", "t", "delta")
-        total = part if total is None else total.unionByName(part)
-    scale = float(max((n - 1) * (n - 2), 1))
-    if total is None:
-        return classes.select("node", F.lit(0.0).alias("betweenness"))
-    sums = total.join(heads.select(F.col("c").alias("s"), "size"), "s").groupBy("t").agg(
-        (F.sum(F.col("delta") * F.col("size")) / F.lit(scale)).alias("betweenness"))
-    return classes.join(sums, F.col("c") == F.col("t"), "left").select(
-        "node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+    adj = cut(links.unionByName(vv).unionByName(vv.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    sums = centrality.class_betweenness(adj, heads, sources)
+    scale = float(max((n - 1) * (n - 2), 1)) * (m / n if n and m else 1.0)
+    return classes.join(sums, F.col("c") == F.col("t"), "left").select("node", F.coalesce(F.col("total") / F.lit(scale), F.lit(0.0)).alias("betweenness"))
 
 
 def unusual_connections(edges: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@ import random
 from collections import defaultdict, deque
 
 import pytest
+from pyspark.sql import functions as F
 
-from procspark.operators import graph
+from procspark.operators import centrality, graph
 from procspark.operators.components import connected_components
 from procspark.operators.pairs import pair_tiles
 
@@ -132,7 +133,30 @@ def brandes(near):
 @pytest.mark.parametrize("rows", [
     random_awards(0, 22, 14, 9, 3), random_awards(1, 40), [(f"v{i}", f"b{i // 4}", "c") for i in range(12)] + [("v0", "b2", "d"), ("v0", "b2", "e")],
     [("v1", "b1", "c1"), ("v1", "b1", "c2"), ("v2", "b2", "c2"), ("v9", "b9", "c9")]])
-def test_betweenness_is_exact(spark, rows):
+@pytest.mark.parametrize("sources", [3, 256])
+def test_betweenness_is_exact(spark, rows, sources):
+    near = neighbours(rows)
+    want = brandes(near)
+    got = {r.node: r.betweenness for r in graph.betweenness(graph.award_edges(awards(spark, rows)), block_rows=3, sources=sources).collect()}
+    assert set(got) == set(want)
+    for node, x in want.items():
+        assert got[node] == pytest.approx(x, abs=1e-12), node
+
+
+def test_betweenness_from_a_share_of_sources(spark):
+    rows = random_awards(3, 400, 150, 60, 8)
+    want = brandes(neighbours(rows))
+    got = {r.node: r.betweenness for r in graph.betweenness(graph.award_edges(awards(spark, rows)), share=0.4, sources=16).collect()}
+    drawn = sum(r.x for r in spark.createDataFrame([(v,) for v in want], "node string").select(centrality.drawn(F.col("node"), 0.4).cast("int").alias("x")).collect())
+    assert 0.2 * len(want) < drawn < 0.6 * len(want) and set(got) == set(want)
+    assert max(abs(got[v] - want[v]) for v in want) <= centrality.error_bound(drawn, 0.01) and any(got[v] != want[v] for v in want)
+
+
+def test_betweenness_of_nothing(spark):
+    assert graph.betweenness(graph.award_edges(awards(spark, []))).count() == 0
+
+
+def neighbours(rows):
     near, by_buyer = defaultdict(set), defaultdict(set)
     for v, b, c in rows:
         v, b, c = f"vendor:{v}", f"buyer:{b}", f"category:{c}"
@@ -143,8 +167,4 @@ def test_betweenness_is_exact(spark, rows):
     for vs in by_buyer.values():
         for v in vs:
             near[v] |= vs - {v}
-    want = brandes(near)
-    got = {r.node: r.betweenness for r in graph.betweenness(graph.award_edges(awards(spark, rows)), block_rows=3).collect()}
-    assert set(got) == set(want)
-    for node, x in want.items():
-        assert got[node] == pytest.approx(x, abs=1e-12), node
+    return near
