@@ -16,14 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procspark.session import cut, shuffle_width
+from procspark.operators import packed
+from procspark.session import cut
 
 SOURCES = 256
-_HELD = 4096  # vectors added up in a task before they are sent on
-_VECTOR = "t string, block int, vec binary"
 
 
 def error_bound(sources: int, risk: float = 0.05) -> float:
@@ -37,69 +36,6 @@ def drawn(node: Column, share: float) -> Column:
     return (F.pmod(F.xxhash64(node), F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30)))) if share < 1 else F.lit(True)
 
 
-def _matrix(column: pa.Array, kind: type, k: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, k)
-
-
-def _packed(matrix: np.ndarray) -> pa.Array:
-    return pa.array([row.tobytes() for row in matrix], pa.binary())
-
-
-def _out(keys: list[tuple[str, int]], rows: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([t for t, _ in keys], pa.string()), pa.array([b for _, b in keys], pa.int32()), _packed(np.array(rows))], names=["t", "block", "vec"])
-
-
-def _added(sent: DataFrame, k: int) -> DataFrame:
-    """``t, block, vec``: the sums of ``vec * times`` per node and block; once in the sending tasks, once after the shuffle."""
-
-    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int], np.ndarray] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = _matrix(batch.column(2), np.float64, k) * batch.column(3).to_numpy()[:, None]
-            for key, row in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), vectors):
-                if key in held:
-                    held[key] += row
-                else:
-                    held[key] = row.copy()
-            if len(held) >= _HELD:
-                yield _out(list(held), list(held.values()))
-                held = {}
-        if held:
-            yield _out(list(held), list(held.values()))
-
-    def there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, None
-        for batch in batches:
-            keys, rows = [], []
-            for key, row in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), _matrix(batch.column(2), np.float64, k)):
-                if key == now:
-                    total += row
-                    continue
-                if now is not None:
-                    keys.append(now)
-                    rows.append(total)
-                now, total = key, row.copy()
-            if keys:
-                yield _out(keys, rows)
-        if now is not None:
-            yield _out([now], [total])
-
-    width = shuffle_width(sent.sparkSession)
-    return sent.mapInArrow(here, _VECTOR).repartition(width, "t", "block").sortWithinPartitions("t", "block").mapInArrow(there, _VECTOR)
-
-
-def _sources(heads: DataFrame, k: int) -> DataFrame:
-    """``heads`` with a block and a place in it; blocks hold about as many sources as there are places, never more."""
-    blocks = max(1, -(-heads.count() * 5 // (k * 4)))
-    by = Window.partitionBy("deal").orderBy("c")
-    dealt = heads.withColumn("deal", F.pmod(F.xxhash64("c", F.lit(7)), F.lit(blocks)).cast("int")).withColumn("r", F.row_number().over(by) - 1)
-    # what does not fit its block opens further ones of its own
-    return dealt.select("*", (F.col("deal") + blocks * F.floor(F.col("r") / k)).cast("int").alias("block"), (F.col("r") % k).cast("int").alias("place")).drop("deal", "r")
-
-
 def class_betweenness(adj: DataFrame, heads: DataFrame, k: int = SOURCES) -> DataFrame:
     """``t, total``: the dependencies on one member of class ``t``, summed over the sources.
 
@@ -107,12 +43,12 @@ def class_betweenness(adj: DataFrame, heads: DataFrame, k: int = SOURCES) -> Dat
     tells how many nodes a class has, whether they are neighbours of each other, and how many of them are sources.
     """
     size = heads.select(F.col("c").alias("t"), F.col("size").cast("double").alias("many"))
-    start = cut(_sources(heads.filter("weight > 0"), k))
+    start = cut(packed.dealt(heads.filter("weight > 0"), k))
 
     def first(batch: pa.RecordBatch) -> pa.RecordBatch:
         vec = np.zeros((batch.num_rows, k))
         vec[np.arange(batch.num_rows), batch.column(2).to_numpy()] = 1.0
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _packed(vec > 0), _packed(vec)], names=["t", "block", "seen", "vec"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed.binary(vec > 0), packed.binary(vec)], names=["t", "block", "seen", "vec"])
 
     state_schema = "t string, block int, seen binary, vec binary"
     state = cut(start.select("c", "block", "place").mapInArrow(lambda bs: map(first, bs), state_schema))
@@ -123,15 +59,15 @@ def class_betweenness(adj: DataFrame, heads: DataFrame, k: int = SOURCES) -> Dat
         for batch in batches:
             if not batch.num_rows:
                 continue
-            seen = _matrix(pa.array([s or none for s in batch.column(2).to_pylist()], pa.binary()), np.bool_, k)
-            vec = np.where(seen, 0.0, _matrix(pa.array([v or zero for v in batch.column(3).to_pylist()], pa.binary()), np.float64, k))
+            seen = packed.matrix(pa.array([s or none for s in batch.column(2).to_pylist()], pa.binary()), np.bool_, k)
+            vec = np.where(seen, 0.0, packed.matrix(pa.array([v or zero for v in batch.column(3).to_pylist()], pa.binary()), np.float64, k))
             new = vec.any(axis=1)
             rows = [row.tobytes() if n else None for row, n in zip(vec, new)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _packed(seen | (vec > 0)), pa.array(rows, pa.binary())], names=["t", "block", "seen", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed.binary(seen | (vec > 0)), pa.array(rows, pa.binary())], names=["t", "block", "seen", "vec"])
 
     while True:
         sent = levels[-1].join(adj, F.col("t") == F.col("a")).select(F.col("b").alias("t"), "block", "vec", F.col("many").alias("times"))
-        met = _added(sent, k)
+        met = packed.added(sent, k)
         state = cut(state.select("t", "block", "seen").join(met, ["t", "block"], "full").select("t", "block", "seen", "vec").mapInArrow(fresh, state_schema))
         level = state.filter("vec is not null").select("t", "block", "vec").join(size, "t")
         if level.isEmpty():
@@ -161,22 +97,22 @@ def class_betweenness(adj: DataFrame, heads: DataFrame, k: int = SOURCES) -> Dat
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                paths = _matrix(batch.column(2), np.float64, k)
-                share = _matrix(pa.array([v or zero for v in batch.column(3).to_pylist()], pa.binary()), np.float64, k)
+                paths = packed.matrix(batch.column(2), np.float64, k)
+                share = packed.matrix(pa.array([v or zero for v in batch.column(3).to_pylist()], pa.binary()), np.float64, k)
                 cells = batch.column(4).to_pylist()
                 delta = paths * share
                 if last:
                     delta += np.where(paths > 0, np.array([by_place(c, "own") for c in cells]), 0.0)
                 told = (delta * np.array([by_place(c, "weight") for c in cells])).sum(axis=1)
                 up = np.where(paths > 0, (1.0 + delta) / np.where(paths > 0, paths, 1.0), 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _packed(up), pa.array(told)], names=["t", "block", "vec", "total"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed.binary(up), pa.array(told)], names=["t", "block", "vec", "total"])
 
         here = levels[depth]
         if below is None:
             rows = here.withColumn("share", F.lit(None).cast("binary"))
         else:
             sent = below.join(adj, F.col("t") == F.col("b")).select(F.col("a").alias("t"), "block", "vec", F.col("many").alias("times"))
-            rows = here.join(_added(sent, k).select("t", "block", F.col("vec").alias("share")), ["t", "block"], "left")
+            rows = here.join(packed.added(sent, k).select("t", "block", F.col("vec").alias("share")), ["t", "block"], "left")
         rows = rows.join(places, "block").select("t", "block", "vec", "share", "places")
         found = cut(rows.mapInArrow(back, "t string, block int, vec binary, total double"))
         below = found.select("t", "block", "vec").join(size, "t")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procspark.operators import centrality
+from procspark.operators import centrality, packed
 from procspark.operators.components import connected_components
 from procspark.operators.pairs import pair_tiles
-from procspark.session import cut
+from procspark.session import cut, shuffle_width
 
 
 def agency_name() -> Column:
@@ -60,30 +63,93 @@ def neighbour_classes(edges: DataFrame, node: str, neighbour: str) -> DataFrame:
     return prints.join(classes, ["k", "h1", "h2"]).select(node, "class", "size", F.col("k").alias("degree"))
 
 
-def bipartite_clustering(edges: DataFrame, block_rows: int = 2_000) -> DataFrame:
+def bipartite_clustering(edges: DataFrame, places: int = 256) -> DataFrame:
     """Mean Jaccard overlap of a vendor's agencies with those of all vendors it shares one with.
 
-    Vendors with equal agency sets are one class with a count, which turns the vendors of a hub agency that
-    behave alike into one row; overlaps are counted between classes only, in tiles of bounded size.
+    Vendors with equal agency sets are one class with a count. Classes are dealt into blocks of ``places`` (a multiple of 8), and an agency is one
+    row of bits per block: which of its classes it has. A class meets the rows of its agencies; per block, the bits of these rows add up to its
+    common agencies with all classes of the block, and their overlaps to one sum. No row per pair of classes exists.
     """
     classes = cut(neighbour_classes(edges, "vendor_id", "agency"))
-    heads = classes.filter(F.col("vendor_id") == F.col("class")).select("class", "size", "degree")
-    links = edges.select(F.col("vendor_id").alias("class"), "agency").distinct().join(heads, "class")
-    shared = pair_tiles(links, ["agency"], "class", ["size", "degree"], block_rows).groupBy(
-        "l_class", "r_class").agg(F.count("*").alias("common"), F.first("l_size").alias("l_size"),
-                                  F.first("r_size").alias("r_size"), F.first("l_degree").alias("l_degree"),
-                                  F.first("r_degree").alias("r_degree"))
-    overlap = F.col("common") / (F.col("l_degree") + F.col("r_degree") - F.col("common"))
-    half = lambda me, it: shared.select(
-        F.col(f"{me}_class").alias("class"), (overlap * F.col(f"{it}_size")).alias("s"), F.col(f"{it}_size").alias("n"))
-    others = half("l", "r").unionByName(half("r", "l")).groupBy("class").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    heads = classes.filter(F.col("vendor_id") == F.col("class")).select(F.col("class").alias("c"), "size", "degree")
+    placed = cut(packed.dealt(heads, places)).withColumn("t", F.col("block").cast("bigint") * places + F.col("place"))
+    links = edges.select(F.col("vendor_id").alias("c"), "agency").distinct().join(placed, "c").select("t", "degree", "agency", "block", "place")
+    width = shuffle_width(edges.sparkSession)
+    salts = max(1, -(-4 * width // max(1, _number(placed, F.max("block"), 0) + 1)))  # so that few blocks still make many groups
+
+    def to_bits(batch: pa.RecordBatch) -> pa.RecordBatch:
+        flags = np.zeros((batch.num_rows, places), dtype=np.uint8)
+        for row, has in zip(flags, batch.column(2).to_pylist()):
+            row[has] = 1
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed.binary(np.packbits(flags, axis=1))], names=["agency", "block", "bits"])
+
+    def to_notes(batch: pa.RecordBatch) -> pa.RecordBatch:
+        notes = np.zeros((batch.num_rows, 2, places))
+        notes[:, 1] = 1.0
+        for row, cells in zip(notes, batch.column(1).to_pylist()):
+            for c in cells:
+                row[0, c["place"]], row[1, c["place"]] = c["size"], c["degree"]
+        return pa.RecordBatch.from_arrays([batch.column(0), packed.binary(notes)], names=["block", "notes"])
+
+    own = links.groupBy("agency", "block").agg(F.collect_list("place").alias("has"))  # at most ``places`` entries
+    bits = cut(own.mapInArrow(lambda batches: map(to_bits, batches), "agency string, block int, bits binary"))
+    known = placed.groupBy("block").agg(F.collect_list(F.struct("place", "size", "degree")).alias("cells"))
+    notes = known.mapInArrow(lambda batches: map(to_notes, batches), "block int, notes binary")
+    # every group of rows is led by the sizes and degrees of its block
+    lead = notes.select("block", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(-1).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("mine"), F.col("notes").alias("vec"))
+    salt = F.pmod(F.xxhash64("t"), F.lit(salts)).cast("int").alias("salt")
+    sent = links.select("t", F.col("degree").alias("mine"), "agency").join(bits, "agency").select("block", salt, "t", "mine", F.col("bits").alias("vec"))
+    met = lead.unionByName(sent).repartition(width, "block", "salt").sortWithinPartitions("block", "salt", "t")
+    sums = met.mapInArrow(lambda batches: _overlaps(batches, places), "t bigint, s double, n double").groupBy("t").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     twins = F.col("size") - 1
-    total = F.coalesce("n", F.lit(0)) + twins
+    total = F.coalesce("n", F.lit(0.0)) + twins
     value = F.when(total > 0, (F.coalesce("s", F.lit(0.0)) + twins) / total).otherwise(0.0)
-    per_class = heads.join(others, "class", "left").select("class", value.alias("clustering"))
+    per_class = placed.join(sums, "t", "left").select(F.col("c").alias("class"), value.alias("clustering"))
     return classes.join(per_class, "class").select("vendor_id", "clustering")
 
 
+def _overlaps(batches: Iterator[pa.RecordBatch], places: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``block, salt, t, mine, vec`` in order: for every class ``t`` and block the sum of overlaps with the block's classes, and how many overlap."""
+    size = degree = None
+    held = None  # the class whose rows may go on in the next batch: t, mine, block, common so far
+
+    def told(t: np.ndarray, mine: np.ndarray, block: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
+        home = np.flatnonzero(t // places == block)
+        common[home, t[home] % places] = 0
+        share = common / np.maximum(mine[:, None] + degree - common, 1.0)
+        return pa.RecordBatch.from_arrays([pa.array(t), pa.array(share @ size), pa.array((common > 0) @ size)], names=["t", "s", "n"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block, t, mine = (batch.column(i).to_numpy() for i in (0, 2, 3))
+        vec = batch.column(4)
+        leads = np.flatnonzero(t < 0).tolist()
+        for lo, hi in zip([0, *leads], [*leads, batch.num_rows]):
+            if lo < hi and t[lo] < 0:
+                if held is not None:
+                    yield told(*(np.array([x]) for x in held[:3]), held[3][None])
+                    held = None
+                size, degree = np.frombuffer(vec[lo].as_py(), np.float64).reshape(2, places)
+                lo += 1
+            if lo >= hi:
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], t[lo + 1:hi] != t[lo:hi - 1]]))
+            flags = np.unpackbits(packed.matrix(vec.slice(lo, hi - lo), np.uint8, places // 8), axis=1)
+            common = np.add.reduceat(flags, starts, axis=0, dtype=np.int32).astype(float)
+            which = lo + starts
+            if held is not None:
+                if held[0] == t[lo]:
+                    common[0] += held[3]
+                else:
+                    yield told(*(np.array([x]) for x in held[:3]), held[3][None])
+            held = (t[hi - 1], mine[hi - 1], block[hi - 1], common[-1].copy())
+            if len(which) > 1:
+                yield told(t[which[:-1]], mine[which[:-1]], block[which[:-1]], common[:-1])
+    if held is not None:
+        yield told(*(np.array([x]) for x in held[:3]), held[3][None])
+
+
 def co_occurrence(df: DataFrame) -> DataFrame:
     """How often a vendor bills the agency in a week together with others, counted without forming pairs."""
     seen = df.filter(F.col("agency").isNotNull() & F.col("ts").isNotNull()).select(

@@ -69,12 +69,47 @@ def test_clustering_against_all_pairs(spark, seed):
     for v, a in rows:
         sets[v].add(a)
     df = spark.createDataFrame(rows, "vendor_id int, agency string")
-    for r in graph.bipartite_clustering(graph.bipartite_edges(df), block_rows=3).collect():
+    for r in graph.bipartite_clustering(graph.bipartite_edges(df), places=8).collect():
         mine = sets[r.vendor_id]
         overlaps = [len(mine & s) / len(mine | s) for v, s in sets.items() if v != r.vendor_id and mine & s]
         assert r.clustering == pytest.approx(sum(overlaps) / len(overlaps) if overlaps else 0.0)
 
 
+@pytest.mark.parametrize("vendors", [150, 1500])
+def test_clustering_of_a_hub_with_distinct_sets(spark, vendors):
+    """All vendors serve one agency and two more that no other vendor has together: every pair of classes overlaps in one or two agencies."""
+    side = 60
+    pairs = [(a, b) for a in range(side) for b in range(a)][:vendors]
+    rows = [(v, f"x{x}") for v, (a, b) in enumerate(pairs) for x in ("hub", a, b)]
+    with_one = defaultdict(int)
+    for pair in pairs:
+        for x in pair:
+            with_one[x] += 1
+    got = {r.vendor_id: r.clustering for r in graph.bipartite_clustering(graph.bipartite_edges(spark.createDataFrame(rows, "vendor_id int, agency string"))).collect()}
+    assert len(got) == vendors
+    for v, (a, b) in enumerate(pairs):
+        two = with_one[a] + with_one[b] - 2
+        assert got[v] == pytest.approx((two * 2 / 4 + (vendors - 1 - two) * 1 / 5) / (vendors - 1))
+
+
+def test_no_row_per_pair_of_classes(spark, monkeypatch):
+    """What goes between classes: rows of bits per agency and block for each class, far fewer than pairs."""
+    df = spark.createDataFrame([(v, f"x{x}") for v in range(800) for x in (0, 1 + v % 30, 31 + v // 30)], "vendor_id int, agency string")
+    seen = spark.sparkContext.accumulator(0)
+    plain = graph._overlaps
+
+    def counted(batches, places):
+        def each():
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+        return plain(each(), places)
+
+    monkeypatch.setattr(graph, "_overlaps", counted)
+    graph.bipartite_clustering(graph.bipartite_edges(df)).collect()
+    assert 0 < seen.value <= 800 * 3 * 5 + 200 < 800 * 799 / 2
+
+
 def test_co_occurrence(spark):
     rows = [(v, "a", "2026-01-05") for v in (1, 2, 3)] + [(1, "a", "2026-01-08"), (4, "b", "2026-01-08")]
     df = spark.createDataFrame(rows, "vendor_id int, agency string, ts string").selectExpr("vendor_id", "agency", "cast(ts as timestamp_ntz) ts")
