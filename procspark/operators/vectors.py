@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from procspark.session import shuffle_width
+from procspark.operators.graph import neighbour_classes
+from procspark.session import cut, shuffle_width
 
 SCORE_MIN = 0.20
 QUERY_BLOCK, PART_ROWS = 1_000, 50_000
+_CELLS = 1 << 22  # scores at once
+_SLACK = 1e-9
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,58 +34,102 @@ def _ranked(df: DataFrame, by: list[str], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, threshold: float = SCORE_MIN, part_rows: int = PART_ROWS) -> DataFrame:
-    """``query_id, chunk_id, score, rank`` over all vectors (``chunk_id, vec``), for any number of queries.
+def _best(x: np.ndarray, matrix: np.ndarray, chunk: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of the best ``k`` products of every row of ``x`` with the rows of ``matrix``, from the threshold on; of equal ones the
+    smaller chunk.
 
-    The vectors are dealt once into parts of some ten thousand rows. Queries are packed into blocks, and every block is sent past
-    every part: a task holds one part as a matrix and one block at a time, and hands on its best k rows per query.
+    The product of two matrices may give equal vectors scores that differ in the last bit. It only says what can be among the best; that is
+    then summed up vector by vector, so equal vectors tie.
+    """
+    rough = x @ matrix.T
+    least = np.full(len(x), threshold)
+    if len(matrix) > 4 * k:
+        least = np.maximum(least, np.partition(rough, len(matrix) - k, axis=1)[:, len(matrix) - k])
+    row, col = np.nonzero(rough >= (least - _SLACK * (1 + np.abs(least)))[:, None])
+    score = (x[row] * matrix[col]).sum(axis=1)
+    good = score >= threshold
+    row, col, score = row[good], col[good], score[good]
+    order = np.lexsort((chunk[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
+    top = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[top], col[top], score[top]
+
+
+def _part_topk(chunks: DataFrame, queries: DataFrame, k: int, threshold: float, part_rows: int = PART_ROWS, query_rows: int = QUERY_BLOCK) -> DataFrame:
+    """``grp, query_id, chunk_id, score``: for every query (``grp, query_id, vec``) the best ``k`` chunks (``grp, chunk_id, vec``) of each part of its own group.
+
+    The chunks of a group are dealt into parts and its queries into slices, as many as their numbers ask for; a part and a slice meet in one task as two
+    matrices, chunks first, and queries are multiplied batch by batch. Each meeting hands on ``k`` rows per query. A group of any size is
+    split this way; groups without queries are not sent. Rows without a vector match nothing.
     """
-    parts = max(shuffle_width(vectors.sparkSession), -(-vectors.count() // part_rows))
-    dealt = vectors.select(F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).alias("part"), F.lit(0).alias("block"), "chunk_id", F.lit(None).alias("query_id"), "vec")
-    blocks = queries.select("query_id", F.col("vec").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(-(-queries.count() // QUERY_BLOCK) or 1)).alias("no"))
-    packed = blocks.groupBy("no").agg(F.collect_list(F.struct("query_id", "q")).alias("rows"))  # about QUERY_BLOCK rows each
-    sent = packed.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"), (F.col("no") + 1).cast("int").alias("block"), "rows")
-    q, c = queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()
-    kind = f"array<struct<id: {c}, vec: array<double>>>"
-    own = dealt.select("part", "block", F.array(F.struct(F.col("chunk_id").alias("id"), F.col("vec").cast("array<double>").alias("vec"))).cast(kind).alias("mine"),
-                       F.lit(None).cast(f"array<struct<id: {q}, vec: array<double>>>").alias("asked"))
-    ask = sent.select("part", "block", F.lit(None).cast(kind).alias("mine"),
-                      F.transform("rows", lambda r: F.struct(r["query_id"].alias("id"), r["q"].cast("array<double>").alias("vec"))).alias("asked"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, part, matrix, chunk = [], None, None, None
-        for pdf in batches:
-            for p, mine, asked in zip(pdf["part"], pdf["mine"], pdf["asked"]):
-                if p != part:
-                    held, part, matrix = [], p, None
-                if mine is not None:
-                    held.append((mine[0]["id"], mine[0]["vec"]))
+    chunks, queries = chunks.filter(F.col("vec").isNotNull()), queries.filter(F.col("vec").isNotNull())
+    parts = chunks.groupBy("grp").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
+    slices = queries.groupBy("grp").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("slices"))
+    sizes = parts.join(slices, "grp")
+    c, q = chunks.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    g = chunks.schema["grp"].dataType.simpleString()
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    vec = F.col("vec").cast("array<double>").alias("vec")
+    own = chunks.join(sizes, "grp").select("grp", F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int").alias("part"), every("slices").alias("slice"), F.lit(0).alias("kind"),
+                                           "chunk_id", F.lit(None).cast(q).alias("query_id"), vec)
+    asked = queries.join(sizes, "grp").select("grp", every("parts").alias("part"), F.pmod(F.xxhash64("query_id"), F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("kind"),
+                                              F.lit(None).cast(c).alias("chunk_id"), "query_id", vec)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, matrix, ids, order_of, now = [], None, None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.column(3).to_numpy()
+            place = list(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2))))
+            cuts = [0, *(i for i in range(1, len(place)) if place[i] != place[i - 1] or kind[i] != kind[i - 1]), len(place)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if place[lo] != now:
+                    now, held, matrix = place[lo], [], None
+                rows = batch.slice(lo, hi - lo)
+                x = rows.column(6).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
+                if kind[lo] == 0:
+                    held.append((rows.column(4), x))
                     continue
                 if not held:
                     continue
                 if matrix is None:
-                    chunk, matrix = np.array([h[0] for h in held]), np.stack([h[1] for h in held])
-                ids, best, scores = [], [], []
-                for a in asked:
-                    score = matrix @ np.asarray(a["vec"])
-                    hits = np.flatnonzero(score >= threshold)
-                    hits = hits[np.lexsort((chunk[hits], -score[hits]))[:k]]
-                    ids += [a["id"]] * len(hits)
-                    best.append(chunk[hits])
-                    scores.append(score[hits])
-                if ids:
-                    yield pd.DataFrame({"query_id": ids, "chunk_id": np.concatenate(best), "score": np.concatenate(scores)})
-
-    met = own.unionByName(ask).repartition(parts, "part").sortWithinPartitions("part", "block")
-    found = met.mapInPandas(run, f"query_id {q}, chunk_id {c}, score double")
+                    ids, matrix = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                    order_of = np.array(ids.to_pylist())
+                    held = held[:1]
+                step = max(1, _CELLS // len(matrix))
+                for at in range(0, hi - lo, step):
+                    row, col, score = _best(x[at:at + step], matrix, order_of, k, threshold)
+                    if len(row):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([now[0]] * len(row), batch.schema.field(0).type), rows.column(5).take(pa.array(at + row)), ids.take(pa.array(col)), pa.array(score)],
+                            names=["grp", "query_id", "chunk_id", "score"])
+
+    width = shuffle_width(chunks.sparkSession)
+    met = own.unionByName(asked).repartition(width, "grp", "part", "slice").sortWithinPartitions("grp", "part", "slice", "kind")
+    return met.mapInArrow(run, f"grp {g}, query_id {q}, chunk_id {c}, score double")
+
+
+def grouped_topk(chunks: DataFrame, queries: DataFrame, k: int, threshold: float) -> DataFrame:
+    """``grp, query_id, chunk_id, score, rank``: the best ``k`` chunks of its own group for every query."""
+    return _ranked(_part_topk(chunks, queries, k, threshold), ["grp", "query_id"], k)
+
+
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, threshold: float = SCORE_MIN, part_rows: int = PART_ROWS) -> DataFrame:
+    """``query_id, chunk_id, score, rank`` over all vectors (``chunk_id, vec``), for any number of queries: one group of all."""
+    # every vector is in one of as many groups as the session has tasks, so a small table still makes use of all of them
+    groups = shuffle_width(vectors.sparkSession)
+    chunks = vectors.select(F.pmod(F.xxhash64("chunk_id", F.lit(1)), F.lit(groups)).cast("int").alias("grp"), "chunk_id", "vec")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), "query_id", "vec")
+    found = _part_topk(chunks, asked, k, threshold, part_rows, QUERY_BLOCK).drop("grp")
     return _ranked(found, ["query_id"], k).withColumn("score", F.round("score", 4))
 
 
 def vector_topk_filtered(vectors: DataFrame, queries: DataFrame, k: int = 3, threshold: float = SCORE_MIN) -> DataFrame:
-    """As above, each query within its own contract: the restriction is the join key, so it comes first."""
-    pairs = vectors.join(queries.select("query_id", F.col("vec").alias("q"), "contract_id"), "contract_id")
-    scored = pairs.select("query_id", "contract_id", "chunk_id", dot(F.col("vec"), F.col("q")).alias("score"))
-    return _ranked(scored.filter(F.col("score") >= threshold), ["query_id", "contract_id"], k).withColumn("score", F.round("score", 4))
+    """As above, each query within its own contract: the restriction is the group, so it comes first."""
+    chunks = vectors.select(F.col("contract_id").alias("grp"), "chunk_id", "vec")
+    found = grouped_topk(chunks, queries.select(F.col("contract_id").alias("grp"), "query_id", "vec"), k, threshold)
+    return found.select("query_id", F.col("grp").alias("contract_id"), "chunk_id", F.round("score", 4).alias("score"), "rank")
 
 
 def vector_delete(vectors: DataFrame, contracts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -101,17 +148,19 @@ def clause_retrieval(tx: DataFrame, queries: DataFrame, contracts: DataFrame, ch
                      per_tx: int = 3, threshold: float = SCORE_MIN) -> DataFrame:
     """Best clauses of the vendor's active indexed contracts for every transaction.
 
-    Transactions with the same query and vendor get the same clauses, so the vectors are only compared once per
-    distinct (query, contract).
+    Vendors with equal sets of such contracts are one class, and transactions with the same query and class get the same clauses; vectors are
+    compared once per distinct (query, contract), as matrices of a contract's chunks and queries.
     """
-    active = contracts.filter((F.col("status") == "ACTIVE") & F.col("is_indexed")).select("vendor_id", "contract_id")
-    asks = tx.select("query_id", "vendor_id").distinct().join(active, "vendor_id")
-    meets = asks.select("query_id", "contract_id").distinct().join(queries.select("query_id", F.col("vec").alias("q")), "query_id")
-    pairs = meets.join(chunks.select("contract_id", "chunk_id", "vec"), "contract_id").select(
-        "query_id", "contract_id", "chunk_id", dot(F.col("vec"), F.col("q")).alias("score"))
-    top = _ranked(pairs.filter(F.col("score") >= threshold), ["query_id", "contract_id"], per_contract).drop("rank")
-    best = _ranked(asks.join(top, ["query_id", "contract_id"]), ["query_id", "vendor_id"], per_tx)
-    return tx.join(best, ["query_id", "vendor_id"]).select(
+    active = contracts.filter((F.col("status") == "ACTIVE") & F.col("is_indexed")).select("vendor_id", "contract_id").distinct()
+    classes = cut(neighbour_classes(active, "vendor_id", "contract_id").select("vendor_id", "class"))
+    owned = active.join(classes.filter(F.col("vendor_id") == F.col("class")).select("vendor_id"), "vendor_id", "left_semi").withColumnRenamed("vendor_id", "class")
+    placed = tx.join(classes, "vendor_id")
+    asks = placed.select("query_id", "class").distinct().join(owned, "class")
+    meets = asks.select("query_id", "contract_id").distinct().join(queries.select("query_id", "vec"), "query_id")
+    grouped = chunks.select(F.col("contract_id").alias("grp"), "chunk_id", "vec")
+    top = grouped_topk(grouped, meets.select(F.col("contract_id").alias("grp"), "query_id", "vec"), per_contract, threshold).drop("rank")
+    best = _ranked(asks.join(top.withColumnRenamed("grp", "contract_id"), ["query_id", "contract_id"]), ["query_id", "class"], per_tx)
+    return placed.join(best, ["query_id", "class"]).select(
         "tx_id", "contract_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
 
 

@@ -73,6 +73,46 @@ def test_filter_comes_before_ranking(spark):
     assert [r.chunk_id for r in found] == want
 
 
+@pytest.mark.parametrize("part_rows, query_rows", [(50_000, 1_000), (7, 3)])
+def test_groups_are_split_and_stay_exact(spark, part_rows, query_rows, monkeypatch):
+    """One group holds most chunks and most queries; another has no queries, a third no chunks. Text ids, ties and nulls."""
+    rng = np.random.default_rng(1)
+    v = np.round(rng.normal(size=(90, 8)), 1)
+    v[5] = v[3]
+    group = ["big" if i % 6 else f"g{i % 4}" for i in range(90)]
+    chunks = [(g, f"c{i:02d}", [float(x) for x in v[i]]) for i, g in enumerate(group)] + [("none asks", "c98", [1.0] * 8), ("big", "c99", None)]
+    asked = [(g, i, [float(x) for x in v[i]]) for i, g in enumerate(group)] + [("no chunks", 1000, [1.0] * 8), ("big", 1001, None)]
+    monkeypatch.setattr(vectors, "_CELLS", 64)
+    found = vectors._part_topk(spark.createDataFrame(chunks, "grp string, chunk_id string, vec array<double>"),
+                               spark.createDataFrame(asked, "grp string, query_id int, vec array<double>"), 3, 0.2, part_rows, query_rows)
+    got = {}
+    for r in vectors._ranked(found, ["grp", "query_id"], 3).collect():
+        got.setdefault((r.grp, r.query_id), []).append((r.rank, r.chunk_id, round(r.score, 9)))
+    for i, g in enumerate(group):
+        scores = sorted((-round(float(v[i] @ v[j]), 9), f"c{j:02d}") for j in range(90) if group[j] == g and v[i] @ v[j] >= 0.2)[:3]
+        assert sorted(got.pop((g, i), [])) == [(k + 1, c, -s) for k, (s, c) in enumerate(scores)]
+    assert not got
+
+
+def test_clauses_of_vendors_with_equal_contracts(spark):
+    v, df = store(spark, 80)
+    chunks = df.select("chunk_id", "contract_id", "vec")
+    contracts = spark.createDataFrame([(vendor, c, "ACTIVE" if (vendor, c) != (3, 1) else "EXPIRED", c != 2) for vendor in range(6) for c in range(4) if (vendor + c) % 3],
+                                      "vendor_id int, contract_id int, status string, is_indexed boolean")
+    queries = df.filter("chunk_id < 10").select(F.col("chunk_id").alias("query_id"), "vec")
+    tx = [(f"t{i}", i % 7, i % 11) for i in range(60)]
+    got = {}
+    for r in vectors.clause_retrieval(spark.createDataFrame(tx, "tx_id string, vendor_id int, query_id int"), queries, contracts, chunks).collect():
+        got.setdefault(r.tx_id, []).append((r["rank"], r.contract_id, r.chunk_id))
+    for name, vendor, q in tx:
+        mine = [c for c in range(4) if vendor < 6 and (vendor + c) % 3 and (vendor, c) != (3, 1) and c != 2]
+        best = []
+        if q < 10:
+            for c in mine:
+                best += sorted((-(v[j] @ v[q]), j, c) for j in range(80) if j % 4 == c and v[j] @ v[q] >= 0.2)[:2]
+        assert sorted(got.pop(name, [])) == [(k + 1, c, j) for k, (_, j, c) in enumerate(sorted(best)[:3])]
+
+
 def test_delete(spark):
     rows = [(i, "A" if i < 4 else "B") for i in range(7)]
     rest, removed = vectors.vector_delete(spark.createDataFrame(rows, "chunk_id int, contract_id string"), spark.createDataFrame([("A",)], "contract_id string"))
