@@ -7,19 +7,22 @@ from pyspark.sql import functions as F
 
 from procspark.functions.names import canonical_vendor_id, normalize_vendor_name, normalize_vendor_name_loose
 from procspark.session import cut
+from procspark.streaming.buckets import BucketState
 
 
 def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The last row of each key; a map-side combine keeps hot keys small."""
-    return df.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), F.struct(*order)).alias("r")
-                               ).select(key, "r.*").select(*df.columns)
+    """The last row of each key; a map-side combine keeps hot keys small. Rows without a key are not each other's versions: all stay."""
+    alone = F.when(F.col(key).isNull(), F.monotonically_increasing_id()).alias("alone*")
+    return df.groupBy(key, alone).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), F.struct(*order)).alias("r")
+                                      ).select(key, "r.*").select(*df.columns)
 
 
 def upsert_latest(snapshot: DataFrame, batch: DataFrame, key: str, order: list[str],
                   set_to: dict[str, Column] | None = None) -> DataFrame:
     """Replace or add the batch's last row per key; ``set_to`` overrides columns of touched rows.
 
-    Columns the batch does not carry keep their stored value.
+    Columns the batch does not carry keep their stored value. Rows without a key are added. This is the form for a snapshot that is read and written
+    whole; ``merge_buckets`` rewrites only what a batch touches.
     """
     new = latest(batch, key, order).drop(*[c for c in order if c not in snapshot.columns])
     for name, value in (set_to or {}).items():
@@ -39,6 +42,27 @@ def upsert_latest(snapshot: DataFrame, batch: DataFrame, key: str, order: list[s
     return joined.select(*cols)
 
 
+def merge_buckets(store: BucketState, batch: DataFrame, batch_id: int, order: list[str], keep_stored: bool = False) -> list[int]:
+    """Put the batch's last row per key (its first, with ``keep_stored``, for keys not stored yet) into a bucketed table; returns the buckets rewritten.
+
+    Copy on write: the buckets of the batch's keys are read, merged and written under the batch's number, all others stay the files they are and
+    are taken over by name. A batch that is run again gives the same table. Rows without a key are left out: they have no bucket.
+    """
+    key = store.key
+    keyed = batch.filter(F.col(key).isNotNull())
+    pick = F.min_by if keep_stored else F.max_by
+    new = keyed.groupBy(key).agg(pick(F.struct(*[c for c in batch.columns if c != key]), F.struct(*order)).alias("r")).select(key, "r.*")
+    touched = store.touched(keyed, before=batch_id)
+    stored = store.read(touched, before=batch_id)
+    new = new.select(*stored.columns)
+    if keep_stored:
+        merged = stored.unionByName(new.join(stored.select(key), key, "left_anti"))
+    else:
+        merged = stored.join(new.select(key), key, "left_anti").unionByName(new)
+    store.write(merged, touched, batch_id)
+    return touched
+
+
 def insert_if_absent(snapshot: DataFrame, batch: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Rows to add: positive amount, the first of its key in the batch, key not stored yet."""
     usable = batch.filter(F.col("amount") > 0)
@@ -104,10 +128,10 @@ def _creators(df: DataFrame, cols: list[str]) -> tuple[DataFrame, tuple]:
 
 
 def vendor_dim_upsert(vendors: DataFrame, records: DataFrame, order: list[str]) -> DataFrame:
-    """Stream path: match by clean name only; unseen names become vendors (text cut to column widths)."""
+    """Stream path: match by clean name only; unseen names become vendors, with the whole text of their first record."""
     named = records.select(normalize_vendor_name(F.col("vendor")).alias("normalized_name"),
-                           F.substring(F.trim("vendor"), 1, 255).alias("name"),
-                           F.nullif(F.substring(F.trim("country"), 1, 100), F.lit("")).alias("country"), *order)
+                           F.trim("vendor").alias("name"),
+                           F.nullif(F.trim("country"), F.lit("")).alias("country"), *order)
     first = named.groupBy("normalized_name").agg(F.min_by(F.struct("name", "country"), F.struct(*order)).alias("r"))
     fresh = first.join(vendors.select("normalized_name"), "normalized_name", "left_anti").select(
         canonical_vendor_id(F.col("normalized_name")).alias("vendor_id"), "r.name", "normalized_name", "r.country")
