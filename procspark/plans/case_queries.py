@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procspark.operators import cases as C
 from procspark.operators import features as feat
-from procspark.operators import graph, kpi, rules
+from procspark.operators import graph, kpi, paging, rules
 from procspark.operators import vendor_risk as vr
 from procspark.plans.audit_queries import KEYS, RISK_SQL, RULE_SQL, SPEND_TEMPORAL
 from procspark.plans.graph_queries import GRAPH_RISK_CTES
 from procspark.plans.ingest_queries import DIMS_SQL, agency_text, category_text
 from procspark.operators.scan import running_sums
 from procspark.registry import query
-from procspark.session import cut
+from procspark.session import cut, shared_folder
 from procspark.sources.tables import CASES_SQL, PLANS_SQL, SPEND_SQL, cases, plans, spend
 
 WITH_CASES = "WITH " + CASES_SQL
@@ -293,6 +295,26 @@ def _(spark, sf):
     return C.page_of(found, "case_id", 2, 20).select("case_id", "status", "verdict", "risk_level", "ml_score", "created_at")
 
 
+SEEK_SQL = """, f AS (SELECT * FROM cases WHERE status = 'OPEN' AND risk_level = 'HIGH'), c AS (SELECT created_at AS t, case_id AS k FROM f WHERE case_id = (SELECT min(case_id) FROM f))
+SELECT case_id, risk_level, created_at FROM f, c WHERE created_at < t OR (created_at = t AND case_id > k) ORDER BY created_at DESC, case_id LIMIT 20"""
+
+
+@query("list_cases_after", WITH_CASES + SEEK_SQL)
+def _(spark, sf):
+    """The page that follows a cursor, from a written listing of all cases: the open high-risk ones after the one with the smallest id."""
+    listed = paging.write_listing(cases(spark, sf), f"{shared_folder(spark)}/cases-{uuid.uuid4().hex}", "created_at", "case_id")
+    wanted = (F.col("status") == "OPEN") & (F.col("risk_level") == "HIGH")
+    seen = cases(spark, sf).filter(wanted).agg(F.min_by("created_at", "case_id"), F.min("case_id")).first()
+    return listed.after(tuple(seen), 20, wanted).select("case_id", "risk_level", "created_at")
+
+
+@query("list_cases_deep_page", WITH_CASES + """ SELECT case_id, created_at FROM cases ORDER BY created_at DESC, case_id LIMIT 50 OFFSET (SELECT count(*) // 100 * 50 FROM cases)""")
+def _(spark, sf):
+    """A page from the middle of all cases, by its number."""
+    listed = paging.write_listing(cases(spark, sf), f"{shared_folder(spark)}/cases-{uuid.uuid4().hex}", "created_at", "case_id")
+    return listed.page(listed.total // 100 + 1, 50).select("case_id", "created_at")
+
+
 @query("list_cases_total", WITH_CASES + " SELECT count(*) AS total FROM cases WHERE status = 'OPEN' AND risk_level = 'HIGH'")
 def _(spark, sf):
     return C.list_cases(cases(spark, sf), status="OPEN", risk="HIGH").agg(F.count("*").alias("total"))
