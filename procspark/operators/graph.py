@@ -214,30 +214,42 @@ def award_edges(df: DataFrame) -> DataFrame:
     return one("vendor", "buyer", "vendor_buyer").unionByName(one("buyer", "category", "buyer_category"))
 
 
-def shared_buyer_edges(edges: DataFrame, block_rows: int = 2_000) -> DataFrame:
-    """Vendor-vendor edges weighted by shared buyers.
+def shared_buyer_classes(edges: DataFrame, block_rows: int = 2_000) -> tuple[DataFrame, DataFrame]:
+    """The shared-buyer edges in factors: ``vendor, class`` and ``l_class, r_class, weight, l_size, r_size``.
 
-    The pairs are the result, so all of them are formed, but shared buyers are only counted between classes of
-    vendors with equal buyers; members then take the weight of their classes, in tiles of bounded size.
+    Vendors with equal buyers are one class, named by its smallest vendor. Every vendor of one class has an edge of this weight to every vendor of the
+    other; a row of a class with itself stands for the edges between its own vendors. The factors grow with the classes, the edges with the square of the
+    vendors of a buyer: readers that only need sums, degrees or one vendor's edges take the factors, ``expand_classes`` makes the edges.
     """
     links = edges.filter(F.col("relation") == "vendor_buyer").select(F.col("src").alias("vendor"), F.col("dst").alias("buyer"))
     classes = cut(neighbour_classes(links, "vendor", "buyer"))
-    heads = classes.filter(F.col("vendor") == F.col("class")).select("vendor")
-    head_links = links.join(heads, "vendor", "left_semi")
-    between = pair_tiles(head_links, ["buyer"], "vendor", block_rows=block_rows).groupBy(
-        F.col("l_vendor").alias("lc"), F.col("r_vendor").alias("rc")).agg(F.count("*").alias("weight"))
-    # members of two classes meet on the class pair, each side tagged as left or right
-    member = classes.select("vendor", "class")
+    heads = classes.filter(F.col("vendor") == F.col("class")).select("vendor", "size")
+    head_links = links.join(heads, "vendor")
+    between = pair_tiles(head_links, ["buyer"], "vendor", ["size"], block_rows).groupBy(F.col("l_vendor").alias("l_class"), F.col("r_vendor").alias("r_class")).agg(
+        F.count("*").alias("weight"), F.first("l_size").alias("l_size"), F.first("r_size").alias("r_size"))
+    within = classes.filter((F.col("vendor") == F.col("class")) & (F.col("size") > 1)).select(
+        F.col("class").alias("l_class"), F.col("class").alias("r_class"), F.col("degree").alias("weight"), F.col("size").alias("l_size"), F.col("size").alias("r_size"))
+    return classes.select("vendor", "class"), between.unionByName(within)
+
+
+def expand_classes(member: DataFrame, pairs: DataFrame, block_rows: int = 2_000) -> DataFrame:
+    """The edges behind the factors, each pair of vendors once: members of two classes meet in tiles of bounded size."""
+    between = pairs.filter("l_class <> r_class").select(F.col("l_class").alias("lc"), F.col("r_class").alias("rc"), "weight")
     left = between.join(member.withColumnRenamed("class", "lc"), "lc").select("lc", "rc", "weight", "vendor", F.lit(0).alias("side"))
     right = between.join(member.withColumnRenamed("class", "rc"), "rc").select("lc", "rc", "weight", "vendor", F.lit(1).alias("side"))
     across = pair_tiles(left.unionByName(right), ["lc", "rc", "weight"], "vendor", block_rows=block_rows, two_sided=True)
-    within = pair_tiles(classes.filter(F.col("size") > 1), ["class", "degree"], "vendor", block_rows=block_rows)
-    pairs = across.select("l_vendor", "r_vendor", "weight").unionByName(
-        within.select("l_vendor", "r_vendor", F.col("degree").alias("weight")))
-    return pairs.select(F.least("l_vendor", "r_vendor").alias("src"), F.greatest("l_vendor", "r_vendor").alias("dst"),
+    own = member.join(pairs.filter("l_class = r_class").select(F.col("l_class").alias("class"), "weight"), "class")
+    within = pair_tiles(own, ["class", "weight"], "vendor", block_rows=block_rows)
+    found = across.select("l_vendor", "r_vendor", "weight").unionByName(within.select("l_vendor", "r_vendor", "weight"))
+    return found.select(F.least("l_vendor", "r_vendor").alias("src"), F.greatest("l_vendor", "r_vendor").alias("dst"),
                         "weight", F.lit("shared_buyer").alias("relation"))
 
 
+def shared_buyer_edges(edges: DataFrame, block_rows: int = 2_000) -> DataFrame:
+    """Vendor-vendor edges weighted by shared buyers. The pairs are the result, so all of them are formed."""
+    return expand_classes(*shared_buyer_classes(edges, block_rows), block_rows)
+
+
 def relationship_edges(df: DataFrame) -> DataFrame:
     edges = cut(award_edges(df))
     return edges.unionByName(shared_buyer_edges(edges))

@@ -126,6 +126,16 @@ def _(spark, sf):
     return graph.relationship_edges(awards(spark, sf))
 
 
+@query("shared_buyer_classes", REL_SQL + """, sets AS (SELECT src AS vendor, string_agg(dst, '|' ORDER BY dst) AS buyers, count(*) AS degree FROM vb GROUP BY 1),
+cls AS (SELECT buyers, min(vendor) AS class, count(*) AS size, any_value(degree) AS degree FROM sets GROUP BY 1),
+own AS (SELECT class, size, dst AS buyer FROM cls JOIN vb ON src = class)
+SELECT a.class AS l_class, b.class AS r_class, count(*) AS weight, a.size AS l_size, b.size AS r_size FROM own a JOIN own b ON a.buyer = b.buyer AND a.class < b.class GROUP BY 1, 2, 4, 5
+UNION ALL SELECT class, class, degree, size, size FROM cls WHERE size > 1""")
+def _(spark, sf):
+    """The shared-buyer edges as links between classes of vendors with equal buyers."""
+    return graph.shared_buyer_classes(graph.award_edges(awards(spark, sf)))[1]
+
+
 @query("repeated_awards", REL_SQL + """ SELECT 'REPEATED_AWARDS' AS signal, least(weight / 20.0, 1.0) AS score,
   src || ' repeatedly awarded by ' || dst || ' (' || weight || ' records)' AS details FROM vb WHERE weight >= 5""")
 def _(spark, sf):

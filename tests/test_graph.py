@@ -140,6 +140,16 @@ def test_shared_buyers(spark, seed):
     assert sorted((r.src, r.dst, r.weight) for r in got) == want
 
 
+def test_factors_hold_all_shared_buyer_edges(spark):
+    """A buyer of many vendors that behave alike is a few rows; weights and numbers of edges follow from the factors."""
+    rows = [(f"v{i}", "hub", "c") for i in range(200)] + [(f"v{i}", f"b{i % 3}", "c") for i in range(90)]
+    edges = graph.award_edges(awards(spark, rows))
+    member, pairs = graph.shared_buyer_classes(edges)
+    kinds = pairs.collect()
+    assert member.count() == 200 and len(kinds) == 4 + 6  # three classes of 30 and one of 110: each with itself and with the others
+    assert sum(r.l_size * r.r_size if r.l_class != r.r_class else r.l_size * (r.l_size - 1) // 2 for r in kinds) == graph.shared_buyer_edges(edges).count() == 200 * 199 // 2
+
+
 def brandes(near):
     score = dict.fromkeys(near, 0.0)
     for s in near:
