@@ -63,25 +63,36 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
 def read_back(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
     """``conv, turns, under_mask, fits, n_chars``: what the formatted text holds, read from it alone.
 
-    ``turns``: ``array<struct<role, text>>``. ``under_mask``: the texts where the mask counts the loss, unescaped. ``fits``: whether the mask
-    covers the text, and its counted parts are as many and as long as the trained texts.
+    ``turns``: ``array<struct<role, text>>``. ``under_mask``: the parts of the formatted text that the mask counts, unescaped, whatever they are.
+    ``fits``: whether the mask's parts are the headers, marks and texts of the formatted text, and it counts exactly the trained texts.
     """
     blocks = F.split("formatted", r"<\|end\|>", -1)
     blocks = F.slice(blocks, 1, F.size(blocks) - 1)  # nothing stands behind the last mark
 
-    def turns(block: Column) -> Column:
+    def parts(block: Column) -> Column:
+        """Header or mark, text, ..., and the last mark, as ``role, x``; only texts have a role."""
+        head = F.regexp_extract(block, r"^<\|[^|]*\|>", 0)
         role = F.url_decode(F.regexp_extract(block, r"^<\|([^|]*)\|>", 1))
         texts = F.split(F.regexp_replace(block, r"^<\|[^|]*\|>", ""), r"<\|turn\|>", -1)
-        return F.transform(texts, lambda x: F.struct(role.alias("role"), x.alias("x")))
-
-    # every text has a part of the mask: the second of each header and text, or mark and text; <|end|> has only its own
-    length = F.length("formatted")
-    found = formatted.select(conv, "mask", length.alias("n_chars"), F.flatten(F.transform(blocks, turns)).alias("found"))
-    losses = F.filter("mask", lambda m: m["loss"])
-    trained = F.filter("found", lambda t: t["role"] == ASSISTANT)
-    covered = F.aggregate("mask", F.lit(0).cast("bigint"), lambda a, m: a + m["n_chars"])
-    same = F.transform(trained, lambda t: F.length(t["x"])) == F.transform(losses, lambda m: m["n_chars"])
-    return found.select(
-        conv, F.transform("found", lambda t: F.struct(t["role"].alias("role"), unescape(t["x"]).alias("text"))).alias("turns"),
-        F.transform(F.slice(trained, 1, F.size(losses)), lambda t: unescape(t["x"])).alias("under_mask"),
-        ((covered == F.col("n_chars")) & same).alias("fits"), "n_chars")
+
+        def part(who: Column, x: Column) -> Column:
+            return F.struct(who.alias("role"), x.alias("x"))
+
+        no = F.lit(None).cast("string")
+        each = F.flatten(F.transform(texts, lambda x, i: F.array(part(no, F.when(i == 0, head).otherwise(TURN)), part(role, x))))
+        return F.concat(each, F.array(part(no, F.lit(END))))
+
+    found = formatted.select(conv, "formatted", "mask", F.length("formatted").alias("n_chars"), F.flatten(F.transform(blocks, parts)).alias("found"))
+    same = F.transform("found", lambda p: F.length(p["x"])) == F.transform("mask", lambda m: m["n_chars"])
+    both = found.withColumn("same", F.coalesce(same, F.lit(False)))
+    trained = F.transform("found", lambda p: F.coalesce(p["role"] == ASSISTANT, F.lit(False))) == F.transform("mask", lambda m: m["loss"])
+    # with equal parts the mask's places are those of the parts; else the text is cut by the running sum of lengths
+    by_part = F.transform(F.filter(F.arrays_zip("found", "mask"), lambda z: z["mask"]["loss"]), lambda z: unescape(z["found"]["x"]))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
+    by_place = F.aggregate("mask", start, lambda a, m: F.struct(
+        (a["at"] + m["n_chars"]).alias("at"),
+        F.when(m["loss"], F.concat(a["out"], F.array(unescape(F.substring("formatted", a["at"], m["n_chars"]))))).otherwise(a["out"]).alias("out")))["out"]
+    turns = F.filter("found", lambda p: p["role"].isNotNull())
+    return both.select(
+        conv, F.transform(turns, lambda t: F.struct(t["role"].alias("role"), unescape(t["x"]).alias("text"))).alias("turns"),
+        F.when(F.col("same"), by_part).otherwise(by_place).alias("under_mask"), (F.col("same") & trained).alias("fits"), "n_chars")

@@ -99,6 +99,27 @@ def test_odd_chats(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_texts_are_read_where_the_mask_says(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "ab<|cd"), (1, 1, "assistant", "wxyz|>")], "conv_id bigint, turn bigint, role string, text string")
+    made = chat_format.format_chats(rows).collect()[0]
+    lengths = [m.n_chars for m in made.mask]
+    schema = "conv_id bigint, formatted string, mask array<struct<n_chars: int, loss: boolean>>"
+
+    def read(parts):
+        return chat_format.read_back(spark.createDataFrame([(1, made.formatted, parts)], schema)).collect()[0]
+
+    right = [m.loss for m in made.mask]
+    assert right == [False, False, False, False, True, False]
+    found = read(list(zip(lengths, right)))
+    assert found.fits and found.under_mask == ["wxyz|>"]
+    moved = read([(n, k == 1) for k, n in enumerate(lengths)])  # on the user's text
+    assert not moved.fits and moved.under_mask == ["ab<|cd"]
+    at = made.formatted.index("wxyz")
+    shifted = read([(at - 1, False), (5, True), (len(made.formatted) - at - 4, False)])  # other places than the parts
+    assert not shifted.fits and shifted.under_mask == [made.formatted[at - 1:at + 4]]
+    assert not read([(n, False) for n in lengths]).fits
+
+
 def chat_order(text):
     import re
     return re.sub(r"([<\[])(\\*)(\||/?s>|/?INST\]|</?SYS>>)", r"\1\\\2\3", text)
