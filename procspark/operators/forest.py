@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from procspark.session import shuffle_width
+from procspark.session import cut, shuffle_width
 
 TREES, SAMPLE_ROWS = 300, 256
 POOL_FACTOR = 2
+PRIME = (1 << 31) - 1
 _TREE = T.StructType([
     T.StructField("tree", T.IntegerType()), T.StructField("feature", T.ArrayType(T.IntegerType())),
     T.StructField("cut", T.ArrayType(T.DoubleType())), T.StructField("left", T.ArrayType(T.IntegerType())),
@@ -37,25 +38,50 @@ def average_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, long))
 
 
-def sample_rows(df: DataFrame, key: str, cols: list[str], trees: int, rows: int, seed: int) -> DataFrame:
-    """``tree, slot, x``: for every tree ``rows`` draws with replacement, independent of the partitioning.
+def sample_rows(df: DataFrame, key: str, cols: list[str], trees: int, rows: int, seed: int) -> tuple[DataFrame, int]:
+    """``tree, place, key, x``: for every tree the ``rows`` rows with its smallest numbers (all, if there are fewer), and the table's rows.
 
-    Rows are first thinned by a hash of their key to a pool a few times larger than all draws need (at most that
-    many rows, whatever the table), then every (tree, slot) picks one pool row by hash.
+    Every row has two numbers from its key's digest and, from them, a number for every tree; a tree's rows are a random set
+    of exactly that size, independent of the partitioning. Rows are thinned by a third number to about ``POOL_FACTOR`` times
+    what all trees need, then by a bound on the trees' numbers, so a tree's candidates are few whatever the table. A tree
+    left short (next to impossible) is drawn anew under a wider bound. Rows of equal keys are told apart by their values.
     """
     n = df.count()
-    want = min(n, trees * rows * POOL_FACTOR)
-    share = min(1.0, 1.2 * want / max(n, 1))
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    near = F.pmod(h, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)
-    pool = df.filter(near).select(F.array(*[F.col(c).cast("double") for c in cols]).alias("x"), h.alias("h"), F.col(key).alias("k"))
-    pool = pool.orderBy("h", "k").limit(want)
-    numbered = pool.withColumn("row", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("h", "k")) - 1).select("row", "x")
-    size = min(want, n)
-    slots = df.sparkSession.range(trees * min(rows, n)).select(
-        (F.col("id") / min(rows, n)).cast("int").alias("tree"), (F.col("id") % min(rows, n)).cast("int").alias("slot"))
-    pick = F.pmod(F.xxhash64("tree", "slot", F.lit(seed)), F.lit(max(size, 1)))
-    return slots.withColumn("row", pick.cast("int")).join(numbered, "row").select("tree", "slot", "x")
+    want = min(n, rows)
+    digest = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
+    part = lambda at: F.conv(F.substring(digest, at, 10), 16, 10).cast("bigint")
+    source = df.select(F.col(key).alias("key"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"), (part(1) % PRIME).alias("a"),
+                       (part(11) % (PRIME - 1) + 1).alias("b"), part(21).alias("u"))
+    share = min(1.0, POOL_FACTOR * trees * rows / max(n, 1))
+    while True:
+        pool = cut(source.filter(F.col("u") < F.lit(int(share * (1 << 40)))).drop("u"))
+        size = pool.count()
+        if size >= want:
+            break
+        share = min(1.0, 2 * share)
+    bound = min(1.0, 2 * rows / max(size, 1))
+    first = Window.partitionBy("tree").orderBy("number", "key", "x")
+    while True:
+        dealt = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+        near = dealt.withColumn("number", (F.col("a") + F.col("tree") * F.col("b")) % PRIME).filter(F.col("number") < F.lit(int(bound * PRIME) + 1))
+        drawn = cut(near.withColumn("place", F.row_number().over(first) - 1).filter(F.col("place") < want).select("tree", "place", "key", "x"))
+        if bound >= 1 or drawn.count() == trees * want:
+            return drawn, n
+        bound = min(1.0, 2 * bound)
+
+
+def draws(sample: int, n: int, slots: int, rng: np.random.Generator) -> np.ndarray:
+    """Places of ``slots`` draws with replacement among ``n`` rows, of which a random ``sample`` is at hand in random order.
+
+    A draw meets one of the ``d`` rows drawn before with probability ``d / n``, else it is the next one.
+    """
+    out, fresh = np.zeros(slots, dtype=int), 0
+    for i, u in enumerate(rng.random(slots)):
+        old = int(u * n)  # below ``fresh``: that one again
+        out[i] = old if old < fresh else fresh
+        fresh += old >= fresh
+    assert fresh <= sample
+    return out
 
 
 def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str, list]:
@@ -93,14 +119,16 @@ class Forest:
 
 
 def fit(df: DataFrame, key: str, cols: list[str], trees: int = TREES, rows: int = SAMPLE_ROWS, seed: int = 42) -> Forest:
-    drawn = sample_rows(df, key, cols, trees, rows, seed)
-    sample = min(rows, drawn.filter("tree = 0").count())
+    """Every tree grows on as many draws with replacement as its sample has rows."""
+    drawn, n = sample_rows(df, key, cols, trees, rows, seed)
+    sample = min(rows, n)
     limit = max(1, math.ceil(math.log2(max(sample, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("slot")
+        pdf = pdf.sort_values("place")
         number = int(pdf["tree"].iloc[0])
-        tree = _grow(np.array(pdf["x"].tolist(), dtype=float), np.random.default_rng([seed, number]), limit)
+        rng = np.random.default_rng([seed, number])
+        tree = _grow(np.array(pdf["x"].tolist(), dtype=float)[draws(len(pdf), n, sample, rng)], rng, limit)
         return pd.DataFrame([{"tree": number, **tree}])
 
     # each group is one tree's sample of at most ``rows`` rows

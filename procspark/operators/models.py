@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,14 +12,16 @@ from procspark.operators.features import FEATURES
 from procspark.session import cut
 
 STAGE_ONE = "stage_one"
+_SECOND = "tree int, feature array<int>, bin array<int>, cut array<double>, value array<double>"
 
 
 @dataclass
 class Model:
     scale: evaluate.Scale
     forest: forest.Forest
-    second: GBTClassificationModel | None = None
+    second: classifier.Boosted | None = None
     contamination: float | None = None
+    held_out_f1: float | None = None
 
 
 def _first_stage(df: DataFrame, model: Model) -> DataFrame:
@@ -51,8 +52,9 @@ def train(history: DataFrame, labelled: DataFrame | None, key: str, candidates:
     model.forest.offset = offset
     if labelled is not None:
         staged = known.withColumn(STAGE_ONE, rules.normalized_decision(F.col("sample_score") - F.lit(offset)))
-        data = classifier.stratified_split(staged, key, seed=seed).filter(~F.col("is_test"))
-        model.second = classifier.fit(data, [STAGE_ONE, *FEATURES], rounds=rounds, seed=seed)
+        data, cols = cut(classifier.stratified_split(staged, key, seed=seed)), [STAGE_ONE, *FEATURES]
+        model.second = classifier.fit(data.filter(~F.col("is_test")), cols, rounds=rounds, seed=seed, key=key)
+        model.held_out_f1 = classifier.held_out_f1(classifier.probability(data.filter("is_test"), model.second, cols))
     return model
 
 
@@ -68,18 +70,24 @@ def apply(df: DataFrame, model: Model) -> DataFrame:
 
 
 def save(model: Model, spark: SparkSession, path: str) -> None:
-    """Tables of the trees, the scale and the settings, and the second stage in its own format, under one folder."""
+    """Tables of the trees of both stages, the scale and the settings, under one folder."""
     spark.createDataFrame(model.forest.trees, forest._TREE).write.mode("overwrite").parquet(f"{path}/trees")
     spark.createDataFrame([(c, *v) for c, v in model.scale.items()], "feature string, median double, spread double").write.mode("overwrite").parquet(f"{path}/scale")
-    row = (model.forest.sample, float(model.forest.offset), model.contamination, model.second is not None, model.forest.cols)
-    spark.createDataFrame([row], "sample int, offset double, contamination double, second boolean, cols array<string>").write.mode("overwrite").parquet(f"{path}/settings")
-    if model.second is not None:
-        model.second.write().overwrite().save(f"{path}/second")
+    second = model.second
+    row = (model.forest.sample, float(model.forest.offset), model.contamination, second.cols if second else None, second.depth if second else None,
+           model.held_out_f1, model.forest.cols)
+    spark.createDataFrame([row], "sample int, offset double, contamination double, second array<string>, depth int, held_out_f1 double, cols array<string>").write.mode("overwrite").parquet(f"{path}/settings")
+    if second is not None:
+        numbered = [{"tree": i, **t} for i, t in enumerate(second.trees)]
+        spark.createDataFrame(numbered, _SECOND).write.mode("overwrite").parquet(f"{path}/second")
 
 
 def load(spark: SparkSession, path: str) -> Model:
     s = spark.read.parquet(f"{path}/settings").first()
     trees = sorted((r.asDict() for r in spark.read.parquet(f"{path}/trees").collect()), key=lambda r: r["tree"])
     scale = {r["feature"]: (r["median"], r["spread"]) for r in spark.read.parquet(f"{path}/scale").collect()}
-    second = GBTClassificationModel.load(f"{path}/second") if s["second"] else None
-    return Model(scale, forest.Forest(trees, s["sample"], list(s["cols"]), s["offset"]), second, s["contamination"])
+    second = None
+    if s["second"] is not None:
+        rows = sorted((r.asDict() for r in spark.read.parquet(f"{path}/second").collect()), key=lambda r: r.pop("tree"))
+        second = classifier.Boosted(rows, list(s["second"]), s["depth"])
+    return Model(scale, forest.Forest(trees, s["sample"], list(s["cols"]), s["offset"]), second, s["contamination"], s["held_out_f1"])

@@ -120,6 +120,20 @@ def _(spark, sf):
     return forest.decision(found, forest.offset_for(found, 0.05)).select("tx_id", "vendor_id", "sample_score", "decision")
 
 
+@query("forest_sample", """WITH n AS (SELECT *, count(*) OVER () AS rows, md5(concat_ws('|', k, '42')) AS d FROM
+  (SELECT l_orderkey || '-' || l_linenumber AS k FROM lineitem)),
+p AS (SELECT k, CAST('0x' || substr(d, 1, 10) AS BIGINT) % 2147483647 AS a, CAST('0x' || substr(d, 11, 10) AS BIGINT) % 2147483646 + 1 AS b FROM n
+  WHERE CAST('0x' || substr(d, 21, 10) AS BIGINT) < CAST(floor(least(1.0, 2.0 * 300 * 256 / rows) * 1099511627776) AS BIGINT)),
+t AS (SELECT k, CAST(tree AS INTEGER) AS tree, (a + tree * b) % 2147483647 AS number FROM p, range(300) AS r(tree)),
+c AS (SELECT k, tree, row_number() OVER (PARTITION BY tree ORDER BY number, k) - 1 AS place
+  FROM t WHERE number <= floor(least(1.0, 2.0 * 256 / (SELECT count(*) FROM p)) * 2147483647))
+SELECT tree, CAST(place AS INTEGER) AS place, k AS "key" FROM c WHERE place < 256""")
+def _(spark, sf):
+    """The rows every tree of a forest is drawn from."""
+    rows = table(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("k"), "l_quantity")
+    return forest.sample_rows(rows, "k", ["l_quantity"], forest.TREES, forest.SAMPLE_ROWS, 42)[0].select("tree", "place", "key")
+
+
 @query("feature_attribution")
 def _(spark, sf):
     rows = scaled_features(spark, sf)
@@ -142,10 +156,50 @@ def _(spark, sf):
     staged = forest.sample_score(known, model).withColumn("forest_score", -F.col("sample_score"))
     cols = ["forest_score", *feat.FEATURES]
     data = cut(classifier.stratified_split(staged.select("tx_id", "label", "anomaly_type", *cols), "tx_id"))
-    fitted = classifier.fit(data.filter(~F.col("is_test")), cols)
+    fitted = classifier.fit(data.filter(~F.col("is_test")), cols, key="tx_id")
     return classifier.probability(data.filter("is_test"), fitted, cols).select("tx_id", "label", "anomaly_type", "probability")
 
 
+EDGES = {"l_quantity": [float(v) for v in range(5, 50, 5)], "score": [float(v) for v in range(50, 1000, 50)]}
+_SOFT = "(CASE WHEN abs({0}) > 0.1 THEN abs({0}) - 0.1 ELSE 0 END)"
+
+
+def _split_sql(name: str, node: int, where: str) -> str:
+    """One node's sums under every edge, and the edge with the largest gain."""
+    side = lambda g, h: f"power({_SOFT.format(g)}, 2) / ({h} + 2.0)"
+    return f""", {name}_rows AS (SELECT * FROM gh WHERE {where}), {name}_all AS (SELECT sum(g) AS g, sum(h) AS h FROM {name}_rows),
+{name}_sides AS (SELECT c, e, sum(CASE WHEN CASE WHEN c = 0 THEN quantity ELSE score END <= e THEN g ELSE 0 END) AS gl,
+    sum(CASE WHEN CASE WHEN c = 0 THEN quantity ELSE score END <= e THEN h ELSE 0 END) AS hl FROM {name}_rows, edges GROUP BY c, e),
+{name} AS (SELECT {node} AS node, c, e, gl, hl, a.g - gl AS gr, a.h - hl AS hr FROM {name}_sides, {name}_all a WHERE hl >= 5 AND a.h - hl >= 5
+  ORDER BY {side('gl', 'hl')} + {side('(a.g - gl)', '(a.h - hl)')} - {side('a.g', 'a.h')} DESC, c, e LIMIT 1)"""
+
+
+def _below(name: str, sign: str) -> str:
+    return f"(SELECT CASE WHEN c = 0 THEN quantity ELSE score END {sign} e FROM {name})"
+
+
+_LEAF = "round(-0.05 * sign({0}) * " + _SOFT + " / ({1} + 2.0), 6)"
+
+
+@query("boosting_round", """WITH rows AS (SELECT CAST(l_quantity AS DOUBLE) AS quantity, CAST((l_orderkey * 13 + l_partkey * 7 + l_linenumber) % 1000 AS DOUBLE) AS score,
+    CASE WHEN (l_orderkey * 13 + l_partkey * 7 + l_linenumber) % 1000 + 8 * l_quantity + (l_partkey * 29) % 400 > 1200 THEN 1 ELSE 0 END AS label FROM lineitem),
+w AS (SELECT (count(*) - sum(label)) / sum(label) AS w FROM rows),
+gh AS (SELECT quantity, score, (0.5 - label) * CASE WHEN label = 1 THEN w ELSE 1 END AS g, 0.25 * CASE WHEN label = 1 THEN w ELSE 1 END AS h FROM rows, w),
+edges AS (SELECT 0 AS c, CAST(unnest(range(5, 50, 5)) AS DOUBLE) AS e UNION ALL SELECT 1, CAST(unnest(range(50, 1000, 50)) AS DOUBLE))""" +
+       _split_sql("s0", 0, "true") + _split_sql("s1", 1, _below("s0", "<=")) + _split_sql("s2", 2, _below("s0", ">")) + f"""
+SELECT node, CASE WHEN c = 0 THEN 'l_quantity' ELSE 'score' END AS feature, e AS edge, {_LEAF.format('gl', 'hl')} AS below, {_LEAF.format('gr', 'hr')} AS above
+FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2)""", doubles=["below", "above"])
+def _(spark, sf):
+    """The first tree of the second stage on two columns of all line items: splits and the values of either side."""
+    s = (F.col("l_orderkey") * 13 + F.col("l_partkey") * 7 + F.col("l_linenumber")) % 1000
+    label = F.when(s + 8 * F.col("l_quantity") + (F.col("l_partkey") * 29) % 400 > 1200, 1).otherwise(0)
+    rows = table(spark, sf, "lineitem").select("l_quantity", s.alias("score"), label.alias("label"))
+    model = classifier.fit(rows, list(EDGES), rounds=1, depth=2, row_share=1.0, column_share=1.0, edges=EDGES)
+    t = model.trees[0]
+    found = [(i, model.cols[f], t["cut"][i], round(t["value"][2 * i + 1], 6), round(t["value"][2 * i + 2], 6)) for i, f in enumerate(t["feature"]) if f >= 0]
+    return spark.createDataFrame(found, "node int, feature string, edge double, below double, above double")
+
+
 # the synthetic rows of ``augment`` from the same digests; {src}: vendor_id, cents, ts; {per}: rows per vendor
 EXPAND_SQL = """
 st AS (SELECT vendor_id, quantile_cont(cents / 100.0, 0.5) AS median, min(ts) AS first_ts FROM {src} GROUP BY vendor_id),
