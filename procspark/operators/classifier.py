@@ -77,8 +77,9 @@ def _columns(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, ...]:
     return (bins, *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "margin", "k")))
 
 
-def _sums(data: DataFrame, trees: list[dict], tree: dict, nodes: list[int], width: int, depth: int, round_: int, row_share: float) -> pd.DataFrame:
-    """``node, col, bin, g, h`` summed over the round's rows in ``nodes`` of the growing ``tree``."""
+def _sums(data: DataFrame, trees: list[dict], tree: dict, nodes: list[int], width: int, depth: int, round_: int, row_share: float,
+          tasks: int) -> pd.DataFrame:
+    """``node, col, bin, g, h`` summed over the round's rows in ``nodes`` of the growing ``tree``. The sums of a single task are all sums."""
     level = {n: i for i, n in enumerate(nodes)}
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,6 +103,8 @@ def _sums(data: DataFrame, trees: list[dict], tree: dict, nodes: list[int], widt
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["node", "col", "bin", "g", "h"])
 
     parts = data.mapInArrow(add, "node int, col int, bin int, g bigint, h bigint")
+    if tasks == 1:
+        return parts.toPandas()
     return parts.groupBy("node", "col", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
 
 
@@ -157,7 +160,8 @@ def fit(df: DataFrame, cols: list[str], label: str = "label", rounds: int = ROUN
                      F.when(F.col(label) == 1, float(weight)).otherwise(1.0).alias("w"), F.lit(0.0).alias("margin"),
                      F.xxhash64(*[F.col(c) for c in ([key] if key else cols)], F.lit(seed)).alias("k"))
     # every round is several jobs, so few rows go in few tasks
-    data = cut(rows.coalesce(max(1, row["n"] // TASK_ROWS)).mapInArrow(code, schema))
+    tasks = max(1, row["n"] // TASK_ROWS)
+    data = cut(rows.coalesce(tasks).mapInArrow(code, schema))
     rng = np.random.default_rng(seed)
     done, recent = [], []
     for round_ in range(rounds):
@@ -166,7 +170,7 @@ def fit(df: DataFrame, cols: list[str], label: str = "label", rounds: int = ROUN
                 "value": [0.0] * (2 ** (depth + 1) - 1)}
         nodes = [0]
         for _ in range(depth):
-            sums = _sums(data, recent, tree, nodes, width, depth, round_, row_share)
+            sums = _sums(data, recent, tree, nodes, width, depth, round_, row_share, tasks)
             after = []
             for node, part in sums.groupby("node"):
                 g, h = np.zeros((width, BINS)), np.zeros((width, BINS))
