@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -39,43 +39,70 @@ NAMES = re.compile(
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|text|body)(?=$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
 
-_TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]{0,4096}+"|'[^']{0,4096}+'|["'])*+)>|[!?/][^>]*>)""")
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|respond|replies|related|recommend\w*)(?=$|[\s_-])", re.I)
+TELLS = re.compile(r"(?:has|no|with|without|hide|show)[_-]", re.I)  # such a token says what stands beside the element, not what it is
+
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_BETWEEN = re.compile(r"[\s/]*+")
+_PART = re.compile(r"""[\s/]*+([^\s/>=]++|=[^\s/>=]*+)(?:\s*+=\s*+(?:(["'])|([^\s>"'][^\s>]*+))?)?""")
+
+
+def _attributes(page: str, at: int, missing: set[str]) -> tuple[dict[str, str], int]:
+    """The attributes from ``at`` on, the first of each name, and the place behind the tag (-1: it never ends).
+
+    A value ends at its closing quote, however far; a quote without one counts as a letter (``missing`` keeps which have none left).
+    """
+    found: dict[str, str] = {}
+    while m := _PART.match(page, at):
+        at, value = m.end(), m[3] or ""
+        if m[2]:
+            close = -1 if m[2] in missing else page.find(m[2], at)
+            if close < 0:
+                missing.add(m[2])
+            else:
+                value, at = page[at:close], close + 1
+        found.setdefault(m[1].lower(), value)
+    at = _BETWEEN.match(page, at).end()
+    return found, at + 1 if at < len(page) else -1
 
 
 class _Element:
-    __slots__ = ("name", "path", "apart", "good", "parent", "article")
+    """``off``: no content by its kind or attributes. ``named``: so by its class or id, unless most of the page is in it."""
 
-    def __init__(self, name, attrs, parent):
-        self.name, self.parent = name, parent
-        self.apart = parent.apart if parent else False
+    __slots__ = ("name", "path", "depth", "off", "named", "comments", "good", "own_good", "parent", "article", "place")
+
+    def __init__(self, name, attrs, parent, paths, place):
+        self.name, self.parent, self.place = name, parent, place
+        self.depth = parent.depth + 1 if parent else 0
         self.good = parent.good if parent else False
         self.article = parent.article if parent else False
+        self.named = self.comments = self.own_good = False
         label = name
-        if name in APART or name in HIDDEN or (name == "header" and not self.article):
-            self.apart = True
+        self.off = name in APART or name in HIDDEN or (name == "header" and not self.article)
         if attrs:
-            found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
-            words = f"{found.get('class', '')} {found.get('id', '')}".strip()
+            words = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
             if words and name not in ("html", "body", "main"):
-                label = f"{name}.{words.split()[0]}"
-                if NAMES.search(words):
-                    self.apart = True
-                elif GOOD.search(words):
+                label = f"{name}.{words[0]}"
+                said = " ".join(w for w in words if not TELLS.match(w))
+                heads_article = name == "header" and self.article
+                self.named = any(m[0].strip(" _-").lower() != "header" or not heads_article for m in NAMES.finditer(said))
+                self.comments = bool(COMMENTS.search(said))
+                self.own_good = bool(GOOD.search(said))
+                if self.own_good and not self.named:
                     self.good = True
-            if found.get("role", "") in ROLES or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
-                self.apart = True
-            if re.search(r"(?:^|\s)hidden(?:\s|$)", attrs):
-                self.apart = True
-        if name in ("article", "main") and not self.apart:
+            self.off |= (attrs.get("role", "") in ROLES or attrs.get("aria-hidden") == "true" or "hidden" in attrs
+                         or "display:none" in attrs.get("style", "").replace(" ", ""))
+        if name in ("article", "main") and not self.off:
             self.good = self.article = True
-        self.path = f"{parent.path}/{label}" if parent else label
+        self.path = paths.setdefault((parent.path if parent else -1, label), len(paths))
 
 
-def blocks_of(page: str) -> list[tuple[_Element, str, int]]:
-    """``(element, text, characters inside links)`` of every block with text, in page order."""
-    root = _Element("", "", None)
+def blocks_of(page: str) -> tuple[list[_Element], list[tuple[_Element, str, int]]]:
+    """All elements, parents first, and ``(element, text, characters inside links)`` of every block with text, in page order."""
+    paths: dict[tuple[int, str], int] = {}
+    root = _Element("", {}, None, paths, 0)
     stack: list[_Element] = [root]
+    elements, opened, missing = [root], Counter(), set()
     out, buf = [], []
     links = [0]
     in_link = 0
@@ -102,6 +129,7 @@ def blocks_of(page: str) -> list[tuple[_Element, str, int]]:
         if any(e.name in BLOCK for e in stack[k:]):
             flush()
         in_link -= sum(e.name == "a" for e in stack[k:])
+        opened.subtract(e.name for e in stack[k:])
         del stack[k:]
 
     at, n = 0, len(page)
@@ -112,22 +140,28 @@ def blocks_of(page: str) -> list[tuple[_Element, str, int]]:
             break
         put(page[at:lt])
         if page.startswith("<!--", lt):
-            end = page.find("-->", lt + 4)
+            end = page.find("-->", lt + 2)  # <!--> and <!---> are comments, too
             at = n if end < 0 else end + 3
             continue
-        m = _TAG.match(page, lt)
+        m = _OPEN.match(page, lt)
         if not m:
-            put("<")
-            at = lt + 1
-            continue
-        at = m.end()
-        closing, name, attrs = m[1], (m[2] or "").lower(), m[3]
-        if not name:
+            if page[lt + 1:lt + 2] in ("!", "?", "/"):
+                end = page.find(">", lt)
+                at = n if end < 0 else end + 1
+            else:
+                put("<")
+                at = lt + 1
             continue
+        closing, name = m[1], m[2].lower()
+        attrs, at = _attributes(page, m.end(), missing)
+        if at < 0:  # a tag cut off by the end of the page
+            break
         if closing:
             if name == "br":
                 put(" ")
                 continue
+            if not opened[name]:
+                continue
             limit = name in BLOCK
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
@@ -143,8 +177,9 @@ def blocks_of(page: str) -> list[tuple[_Element, str, int]]:
                 put(" ")
             continue
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at) if "/" not in attrs[-1:] else None
-            at = close.end() if close else (at if "/" in attrs[-1:] else n)
+            if page[at - 2] != "/":
+                close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                at = close.end() if close else n
             continue
         if name in ENDS_P:
             for k in range(len(stack) - 1, 0, -1):
@@ -163,10 +198,42 @@ def blocks_of(page: str) -> list[tuple[_Element, str, int]]:
                     break
         if name in BLOCK:
             flush()
-        stack.append(_Element(name, attrs, stack[-1]))
+        stack.append(_Element(name, attrs, stack[-1], paths, len(elements)))
+        elements.append(stack[-1])
+        opened[name] += 1
         in_link += name == "a"
     flush()
-    return out
+    return elements, out
+
+
+def _held(elements: list[_Element], sizes: list[tuple[_Element, int]]) -> list[int]:
+    """Per element what it and the elements in it hold."""
+    held = [0] * len(elements)
+    for e, size in sizes:
+        held[e.place] += size
+    for e in reversed(elements[1:]):
+        held[e.parent.place] += held[e.place]
+    return held
+
+
+def _within(elements: list[_Element], own: list[bool]) -> list[bool]:
+    """Whether an element or one around it is marked."""
+    inside = list(own)
+    for e in elements[1:]:
+        inside[e.place] = inside[e.place] or inside[e.parent.place]
+    return inside
+
+
+def _apart(elements: list[_Element], blocks: list[tuple[_Element, str, int]]) -> list[bool]:
+    """Elements that are no content. A class or id says so, but not of an element with at least half of the text that
+    is a content element by another of its names or has an article or main element in it; comments are apart at any size."""
+    off = _within(elements, [e.off for e in elements])
+    held = _held(elements, [(e, len(text)) for e, text, _ in blocks if not off[e.place]])
+    articles = _held(elements, [(e, 1) for e in elements if e.name in ("article", "main") and not off[e.place]])
+    spared = [2 * held[e.place] >= held[0] > 0 and not e.comments and (e.own_good or articles[e.place] > 0) for e in elements]
+    for e in elements[1:]:
+        e.good = e.good or e.parent.good or (e.own_good and spared[e.place])
+    return _within(elements, [off[e.place] or (e.named and not spared[e.place]) for e in elements])
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -176,34 +243,25 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
 
 
-def _article_of(core: _Element, chosen: list[_Element]) -> _Element:
-    """The outermost article around ``core``, else the nearest main, else the outermost content-named element, else what holds all ``chosen``."""
+def _article_of(core: _Element, held: list[int]) -> _Element:
+    """The outermost article around ``core``, else the nearest main, else the outermost content-named element, else what holds all chosen text."""
     chain = [core]
     while chain[-1].parent is not None:
         chain.append(chain[-1].parent)
     for found in ([e for e in chain if e.name == "article"][-1:], [e for e in chain if e.name == "main"][:1], [e for e in chain if e.good][-1:]):
         if found:
             return found[0]
-    left = {id(e): e for e in chosen}
-    for top in chain:
-        left = {k: e for k, e in left.items() if not _within(e, top)}
-        if not left:
-            return top
-    return chain[-1]
-
-
-def _within(e: _Element | None, top: _Element) -> bool:
-    while e is not None and e is not top:
-        e = e.parent
-    return e is top
+    return next(e for e in chain if held[e.place] == held[0])
 
 
 def main_text(page: str | None, share: float = 0.1, link_share: float = 0.5) -> str:
     """The article's blocks, one per line. ``share``: a path is content from this part of the best fused ratio on."""
-    found = [b for b in blocks_of(page or "") if not b[0].apart]
+    elements, blocks = blocks_of(page or "")
+    apart = _apart(elements, blocks)
+    found = [b for b in blocks if not apart[b[0].place]]
     if not found:
         return ""
-    totals: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+    totals: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
     for element, text, linked in found:
         t = totals[element.path]
         t[0] += len(text) - linked
@@ -214,34 +272,21 @@ def main_text(page: str | None, share: float = 0.1, link_share: float = 0.5) ->
     mark_ratio = _smooth(np.array([totals[e.path][1] / totals[e.path][2] for e, _, _ in found]))
     named = np.array([4.0 if e.good else 1.0 for e, _, _ in found])
     fused = text_ratio * (1 + mark_ratio) * named
-    by_path: dict[str, float] = defaultdict(float)
+    by_path: dict[int, float] = defaultdict(float)
     for (e, _, _), score in zip(found, fused):
         by_path[e.path] += score / totals[e.path][2]
     best = max(by_path.values())
     chosen = {p for p, score in by_path.items() if score >= share * best and totals[p][3] - totals[p][0] <= link_share * totals[p][3]}
     # the smallest element that holds most of the chosen text
-    held: dict[int, int] = defaultdict(int)
-    seen: dict[int, _Element] = {}
-    total = 0
-    for e, text, _ in found:
-        if e.path in chosen:
-            total += len(text)
-            while e is not None:
-                held[id(e)] += len(text)
-                seen[id(e)] = e
-                e = e.parent
-    enough = [e for k, e in seen.items() if held[k] >= 0.8 * total]
-    article = max(enough, key=lambda e: e.path.count("/"), default=None)
-    if article is None:
+    held = _held(elements, [(e, len(text)) for e, text, _ in found if e.path in chosen])
+    if not held[0]:
         return ""
+    article = max((e for e in elements if held[e.place] >= 0.8 * held[0]), key=lambda e: e.depth)
     if article.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "pre", "blockquote"):
         article = article.parent
-    article = _article_of(article, [e for e, _, _ in found if e.path in chosen])
-    inside: dict[int, bool] = {}
-    for e, _, _ in found:
-        if id(e) not in inside:
-            inside[id(e)] = _within(e, article)
-    keep = [text for e, text, linked in found if (inside[id(e)] and (e.path in chosen or linked <= link_share * len(text))) or (e.good and e.path in chosen)]
+    article = _article_of(article, held)
+    inside = _within(elements, [e is article for e in elements])
+    keep = [text for e, text, linked in found if (inside[e.place] and (e.path in chosen or linked <= link_share * len(text))) or (e.good and e.path in chosen)]
     return "\n".join(keep)
 
 
