@@ -56,7 +56,7 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 39),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]+", 32),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+", 40),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 
