@@ -26,8 +26,8 @@ class Bands:
 
     Text of few letters and no repeats lies at 0.35 to 0.75; a text that repeats itself falls far below, random
     characters and packed data come close to 1. Short texts compress worse, so each length has its own limits.
-    A chunk is judged by ``chunk_band`` in the same two ways; the document goes when more than ``chunk_share`` of its chunks fall
-    outside. The top lies under 6 bits a byte, which base64 can't go below and letters of prose don't reach.
+    A chunk is judged by ``chunk_band`` in the same two ways; the document goes when chunks that stand for more than ``chunk_share``
+    of its bytes fall outside. The last chunk ends with the text. The top lies under 6 bits a byte, which base64 can't go below and letters of prose don't reach.
     """
 
     level: int = 3
@@ -81,7 +81,7 @@ class _Judge:
         return (len(self.zstd.compress(short)) / len(short) if short else 0.0), whole
 
     def verdict(self, text: bytes) -> tuple[float, float, bool]:
-        """Ratio of the whole in bytes, share of chunks outside their band, kept."""
+        """Ratio of the whole in bytes, share of bytes in chunks outside their band, kept."""
         if not text:
             return 0.0, 0.0, False
         letters, whole = self.ratios(text)
@@ -89,10 +89,13 @@ class _Judge:
         low = next(lo for end, lo, _ in self.bands.whole if n < end)
         high = next(hi for end, _, hi in self.bands.whole if len(text) < end)
         size = self.bands.chunk
-        pieces = [text[i:i + size] for i in range(0, len(text) - size + 1, size)]
+        # (start, bytes it stands for): the last chunk ends with the text and stands for what the others leave
+        pieces = [(i, size) for i in range(0, len(text) - size + 1, size)]
+        if pieces and len(text) % size:
+            pieces.append((len(text) - size, len(text) % size))
         a, b = self.bands.chunk_band
-        measured = [self.ratios(p) for p in pieces]
-        outside = sum(not (a <= p and r <= b) for p, r in measured) / len(pieces) if pieces else 0.0
+        measured = [(*self.ratios(text[i:i + size]), share) for i, share in pieces]
+        outside = sum(share for p, r, share in measured if not (a <= p and r <= b)) / len(text) if pieces else 0.0
         return whole, outside, low <= letters and whole <= high and outside <= self.bands.chunk_share
 
 

@@ -27,10 +27,13 @@ def good(text, bands=Bands()):
     ratio = lambda b: len(zstandard.ZstdCompressor(level=bands.level).compress(b)) / len(b) if b else 0.0
     low = next(lo for end, lo, _ in bands.whole if len(text) < end)
     high = next(hi for end, _, hi in bands.whole if len(data) < end)
-    chunks = [data[i:i + bands.chunk] for i in range(0, len(data) - bands.chunk + 1, bands.chunk)]
     least, most = bands.chunk_band
-    out = sum(ratio(one_byte_a_letter(c.decode(errors="ignore"))) < least or ratio(c) > most for c in chunks)
-    return low <= ratio(one_byte_a_letter(text)) and ratio(data) <= high and (not chunks or out / len(chunks) <= bands.chunk_share)
+    out = 0
+    for i in range(0, len(data), bands.chunk) if len(data) >= bands.chunk else ():
+        own = data[i:i + bands.chunk]
+        c = own if len(own) == bands.chunk else data[-bands.chunk:]  # the last one ends with the text and counts for its own bytes
+        out += len(own) * (ratio(one_byte_a_letter(c.decode(errors="ignore"))) < least or ratio(c) > most)
+    return low <= ratio(one_byte_a_letter(text)) and ratio(data) <= high and out / len(data) <= bands.chunk_share
 
 
 def without_spread(docs):
